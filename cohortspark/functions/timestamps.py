@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 PARTS = "struct<kind:string,us:bigint,zone:string>"
 
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?"
-_HALF = r"(?: ?([ap])\.?m\.?)?"
+_HALF = r"(?: ?([ap])\.?m\b\.?)?"
 _ZONE = r" ?(z|[+-]\d{1,2}(?::?\d{2})?|utc[+-]\d{1,2}(?::?\d{2})?|[a-z]+(?:[/_][a-z0-9_+/-]+)?)?(?: ?\[([a-z0-9_+/-]+)\])?"
 _MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?"
 #: Form of the text (already in lower case with single blanks) and the group of each part:
