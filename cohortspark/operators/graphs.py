@@ -65,18 +65,20 @@ def ancestors(edges: DataFrame, start: DataFrame | None = None, depth: int = 30)
     return found
 
 
-def version_differences(old: DataFrame, new: DataFrame) -> DataFrame:
+def version_differences(old: DataFrame, new: DataFrame, of: list[str] | None = None) -> DataFrame:
     """link_id, change (added, removed, reworded, reordered) between two versions (link_id, question_text, display_order).
 
+    ``of`` names columns on both sides that say which versions belong together.
+
     Unchanged items give no row; a change of words takes precedence over a change of place. Repeated link_ids count
     by their first place.
     """
-    first = lambda df, p: df.groupBy("link_id").agg(F.min(F.struct("display_order", "question_text")).alias(p))
-    both = first(old, "o").join(first(new, "n"), "link_id", "full")
+    first = lambda df, p: df.groupBy(*(of or []), "link_id").agg(F.min(F.struct("display_order", "question_text")).alias(p))
+    both = first(old, "o").join(first(new, "n"), [*(of or []), "link_id"], "full")
     change = (
         F.when(F.col("o").isNull(), "added")
         .when(F.col("n").isNull(), "removed")
         .when(~F.col("o.question_text").eqNullSafe(F.col("n.question_text")), "reworded")
         .when(~F.col("o.display_order").eqNullSafe(F.col("n.display_order")), "reordered")
     )
-    return both.select("link_id", change.alias("change")).where("change is not null")
+    return both.select(*(of or []), "link_id", change.alias("change")).where("change is not null")

@@ -271,11 +271,12 @@ _NUMBER_SQL = r"CASE WHEN regexp_matches(option_value, '^[+-]?(\d+(\.\d*)?|\.\d+
 
 
 def _persons(spark, folder):
-    return _facts(spark, folder).select("respondent_id").distinct().where("respondent_id % 3 <> 0").withColumn("person_id", F.col("respondent_id") + 1_000_000)
+    """Respondents with answers under an invented person number; others stay unmapped."""
+    return _facts(spark, folder).select("respondent_id").distinct().withColumn("person_id", F.col("respondent_id") + 1_000_000)
 
 
 @query(f"""
-SELECT response_id AS observation_id, CASE WHEN respondent_id % 3 <> 0 THEN respondent_id + 1000000 END AS person_id, question_concept_id AS observation_concept_id, response_date_key AS observation_date, session_id AS questionnaire_response_id,
+SELECT response_id AS observation_id, respondent_id + 1000000 AS person_id, question_concept_id AS observation_concept_id, response_date_key AS observation_date, session_id AS questionnaire_response_id,
        option_concept_id AS value_as_concept_id, response_text AS value_as_string, COALESCE(response_numeric, {_NUMBER_SQL}) AS value_as_number, option_value AS observation_source_value, 32836 AS observation_type_concept_id
 FROM fact_response WHERE question_concept_id IS NOT NULL""")
 def omop_observation(spark, folder):
@@ -283,7 +284,7 @@ def omop_observation(spark, folder):
 
 
 @query(f"""
-WITH s AS ({_SESSION_SQL}) SELECT session_id AS survey_conduct_id, CASE WHEN respondent_id % 3 <> 0 AND respondent_id IN (SELECT respondent_id FROM fact_response) THEN respondent_id + 1000000 END AS person_id, questionnaire_id + 7000 AS survey_concept_id,
+WITH s AS ({_SESSION_SQL}) SELECT session_id AS survey_conduct_id, CASE WHEN respondent_id IN (SELECT respondent_id FROM fact_response) THEN respondent_id + 1000000 END AS person_id, questionnaire_id + 7000 AS survey_concept_id,
        CAST(started_at AS DATE) AS survey_start_date, CAST(completed_at AS DATE) AS survey_end_date, CASE WHEN is_proxy THEN 532063 ELSE 0 END AS assisted_concept_id, admin_mode AS survey_source_value FROM s""")
 def omop_survey_conduct(spark, folder):
     q = table(spark, folder, "response_session").select("questionnaire_id").distinct().withColumn("concept_id", F.col("questionnaire_id") + 7000)
@@ -330,13 +331,14 @@ def concept_ancestors(spark, folder):
 
 
 @query("""
-WITH p AS (SELECT questionnaire_id, question_id, MIN(display_order) AS place FROM questionnaire_question WHERE deleted_at IS NULL GROUP BY 1, 2), a AS (SELECT * FROM p WHERE questionnaire_id = 101), b AS (SELECT * FROM p WHERE questionnaire_id = 102)
-SELECT CAST(COALESCE(a.question_id, b.question_id) AS VARCHAR) AS link_id, CASE WHEN a.question_id IS NULL THEN 'added' WHEN b.question_id IS NULL THEN 'removed' ELSE 'reordered' END AS change
-FROM a FULL JOIN b ON a.question_id = b.question_id WHERE a.question_id IS NULL OR b.question_id IS NULL OR a.place <> b.place""")
+WITH p AS (SELECT questionnaire_id, question_id, MIN(display_order) AS place FROM questionnaire_question WHERE deleted_at IS NULL GROUP BY 1, 2), n AS (SELECT questionnaire_id - 1 AS questionnaire_id, question_id, place FROM p)
+SELECT COALESCE(p.questionnaire_id, n.questionnaire_id) AS questionnaire_id, CAST(COALESCE(p.question_id, n.question_id) AS VARCHAR) AS link_id,
+       CASE WHEN p.question_id IS NULL THEN 'added' WHEN n.question_id IS NULL THEN 'removed' ELSE 'reordered' END AS change
+FROM p FULL JOIN n ON p.question_id = n.question_id AND p.questionnaire_id = n.questionnaire_id WHERE p.question_id IS NULL OR n.question_id IS NULL OR p.place <> n.place""")
 def version_differences(spark, folder):
-    p = table(spark, folder, "questionnaire_question").where("deleted_at is null")
-    of = lambda n: p.where(F.col("questionnaire_id") == n).select(F.col("question_id").cast("string").alias("link_id"), F.lit("").alias("question_text"), "display_order")
-    return graphs.version_differences(of(101), of(102))
+    """Differences of each questionnaire to the one with the next id."""
+    p = table(spark, folder, "questionnaire_question").where("deleted_at is null").select("questionnaire_id", F.col("question_id").cast("string").alias("link_id"), F.lit("").alias("question_text"), "display_order")
+    return graphs.version_differences(p, p.withColumn("questionnaire_id", F.col("questionnaire_id") - 1), ["questionnaire_id"])
 
 
 @query("""
@@ -420,12 +422,13 @@ def busiest_respondents(spark, folder):
 
 
 @query("""
-SELECT s.session_id, s.started_at, (SELECT COUNT(*) FROM fact_response f WHERE f.session_id = s.session_id) AS n_answers FROM response_session s
-WHERE s.admin_mode IS NOT DISTINCT FROM NULL OR s.batch_id LIKE 'b2023-0%' OR s.session_id BETWEEN 100 AND 200""")
+SELECT s.session_id, s.started_at, s.admin_mode IS NOT DISTINCT FROM NULL AS without_mode, s.batch_id LIKE 'b2023-%' AS in_2023, s.questionnaire_id BETWEEN 2 AND 4 AS in_middle,
+       (SELECT COUNT(*) FROM fact_response f WHERE f.session_id = s.session_id) AS n_answers FROM response_session s""")
 def session_answers(spark, folder):
     n = _facts(spark, folder).groupBy("session_id").agg(F.count("*").alias("n_answers"))
-    s = table(spark, folder, "response_session").where(F.col("admin_mode").eqNullSafe(F.lit(None)) | F.col("batch_id").startswith("b2023-0") | F.col("session_id").between(100, 200))
-    return s.join(n, "session_id", "left").select("session_id", "started_at", F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
+    s = table(spark, folder, "response_session").join(n, "session_id", "left")
+    marks = {"without_mode": F.col("admin_mode").eqNullSafe(F.lit(None)), "in_2023": F.col("batch_id").like("b2023-%"), "in_middle": F.col("questionnaire_id").between(2, 4)}
+    return s.select("session_id", "started_at", *(c.alias(k) for k, c in marks.items()), F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
 
 
 @query("""
