@@ -48,15 +48,15 @@ def with_parsed(df: DataFrame, out: str, value: Column, date_order: Column) -> D
 
     ``date_order`` (dmy or mdy) says how numeric dates are read; where it is null they denote no moment.
     """
-    v = F.col("_v")
+    v = F.col("__m_v")
     canon = F.lit(None).cast("string")
     for name, pattern, parts in reversed(_FORMS):
         canon = F.when(v.rlike(pattern), F.concat(F.lit(name + "|"), F.regexp_replace(v, pattern, parts))).otherwise(canon)
-    df = df.withColumn("_v", tidy(value)).withColumn("_order", date_order).withColumn("_f", F.split(F.when(~v.rlike(_EPOCH), canon), r"\|"))
-    steps = [*_calendar_steps(F.col("_f"), F.col("_order")), {out: F.when(v.rlike(_EPOCH), _epoch(v)).otherwise(_calendar())}]
+    df = df.withColumn("__m_v", tidy(value)).withColumn("__m_order", date_order).withColumn("__m_f", F.split(F.when(~v.rlike(_EPOCH), canon), r"\|"))
+    steps = [*_calendar_steps(F.col("__m_f"), F.col("__m_order")), {out: F.when(v.rlike(_EPOCH), _epoch(v)).otherwise(_calendar())}]
     for step in steps:
         df = df.withColumns(step)
-    return df.drop("_v", "_order", "_f", *(c for step in steps[:-1] for c in step))
+    return df.drop("__m_v", "__m_order", "__m_f", *(c for step in steps[:-1] for c in step))
 
 
 def _epoch(v: Column) -> Column:
@@ -72,37 +72,37 @@ def _calendar_steps(p: Column, date_order: Column) -> list[dict[str, Column]]:
     dmy = (form == "site") & (date_order == "dmy")
     month_name = ((F.position(F.substring(p[2], 1, 3), F.lit(_MONTHS)) + 3) / 4).cast("int")
     raw_hour = p[4].cast("int")
-    zone = F.col("_zone")
+    zone = F.col("__m_zone")
     digits = F.regexp_replace(zone, "[^0-9]", "")
     long = F.length(digits) > 2
-    hour_of, minute_of = F.col("_oh"), F.col("_om")
+    hour_of, minute_of = F.col("__m_oh"), F.col("__m_om")
     return [
         {
-            "_month": F.when(form.isin("month", "mail"), month_name).when(dmy, second).otherwise(first),
-            "_day": F.when(dmy, first).otherwise(second),
-            "_year": F.when((form != "site") | date_order.isin("dmy", "mdy"), p[1].try_cast("int")),
-            "_hour": F.when(p[8] == "", raw_hour).when(raw_hour.between(1, 12), raw_hour % 12 + F.when(p[8] == "p", 12).otherwise(0)),
-            "_second": F.when(p[6] == "", F.lit(0)).otherwise(p[6].try_cast("int")),
-            "_fraction": F.rpad(F.substring(p[7], 1, 6), 6, "0").cast("bigint"),
-            "_zone": F.regexp_replace(p[9], "^utc(?=[+-])", ""),
+            "__m_month": F.when(form.isin("month", "mail"), month_name).when(dmy, second).otherwise(first),
+            "__m_day": F.when(dmy, first).otherwise(second),
+            "__m_year": F.when((form != "site") | date_order.isin("dmy", "mdy"), p[1].try_cast("int")),
+            "__m_hour": F.when(p[8] == "", raw_hour).when(raw_hour.between(1, 12), raw_hour % 12 + F.when(p[8] == "p", 12).otherwise(0)),
+            "__m_second": F.when(p[6] == "", F.lit(0)).otherwise(p[6].try_cast("int")),
+            "__m_fraction": F.rpad(F.substring(p[7], 1, 6), 6, "0").cast("bigint"),
+            "__m_zone": F.regexp_replace(p[9], "^utc(?=[+-])", ""),
         },
         {
-            "_start": F.unix_micros(F.try_make_timestamp(F.col("_year"), F.col("_month"), F.col("_day"), F.col("_hour"), p[5].cast("int"), F.when(F.col("_second") < 60, F.col("_second")).cast("decimal(16,6)"), F.lit("UTC"))) + F.col("_fraction"),
-            "_oh": F.when(zone.rlike("^[+-]"), F.when(long, F.expr("substr(regexp_replace(_zone, '[^0-9]', ''), 1, length(regexp_replace(_zone, '[^0-9]', '')) - 2)")).otherwise(digits)).try_cast("int"),
-            "_om": F.when(long, F.substring(digits, -2, 2)).otherwise(F.lit("0")).try_cast("int"),
-            "_bracket": p[10],
+            "__m_start": F.unix_micros(F.try_make_timestamp(F.col("__m_year"), F.col("__m_month"), F.col("__m_day"), F.col("__m_hour"), p[5].cast("int"), F.when(F.col("__m_second") < 60, F.col("__m_second")).cast("decimal(16,6)"), F.lit("UTC"))) + F.col("__m_fraction"),
+            "__m_oh": F.when(zone.rlike("^[+-]"), F.when(long, F.expr("substr(regexp_replace(__m_zone, '[^0-9]', ''), 1, length(regexp_replace(__m_zone, '[^0-9]', '')) - 2)")).otherwise(digits)).try_cast("int"),
+            "__m_om": F.when(long, F.substring(digits, -2, 2)).otherwise(F.lit("0")).try_cast("int"),
+            "__m_bracket": p[10],
         },
-        {"_offset": F.when((hour_of <= 18) & (minute_of < 60), F.when(zone.startswith("-"), -1).otherwise(1) * (hour_of * 60 + minute_of)).cast("bigint")},
+        {"__m_offset": F.when((hour_of <= 18) & (minute_of < 60), F.when(zone.startswith("-"), -1).otherwise(1) * (hour_of * 60 + minute_of)).cast("bigint")},
     ]
 
 
 def _calendar() -> Column:
     """``PARTS`` from the columns of :func:`_calendar_steps`."""
-    us, zone, none = F.col("_start"), F.col("_zone"), F.lit(None)
-    named = F.when(zone != "", zone).otherwise(F.col("_bracket"))
-    signed = F.col("_oh").isNotNull()
+    us, zone, none = F.col("__m_start"), F.col("__m_zone"), F.lit(None)
+    named = F.when(zone != "", zone).otherwise(F.col("__m_bracket"))
+    signed = F.col("__m_oh").isNotNull()
     kind = F.when(signed | zone.isin("z", "utc"), "instant").when(named != "", "zoned").otherwise("local")
-    moment = us - F.when(signed, F.col("_offset")).otherwise(F.lit(0)) * 60_000_000
+    moment = us - F.when(signed, F.col("__m_offset")).otherwise(F.lit(0)) * 60_000_000
     return F.when(moment.isNotNull(), F.struct(kind.alias("kind"), moment.alias("us"), F.when(kind == "zoned", named).otherwise(none).alias("zone")))
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.skew import hot_keys, salted_join
+
 RUN = "prefix int, h1 array<bigint>, h2 array<bigint>, owner array<bigint>"
 _FOUND = "h1 bigint, h2 bigint, owner bigint, n bigint, first_owner bigint"
 
@@ -89,7 +91,7 @@ def _search(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
             first[hit] = np.minimum(first[hit], owners[at[hit]])
             at[todo] += 1
     known = first != np.iinfo(np.int64).max
-    return pd.DataFrame({"h1": h1, "h2": h2, "owner": batch["owner"], "n": batch["n"], "first_owner": pd.array(np.where(known, first, 0), dtype="Int64").astype("Int64").copy() if known.all() else pd.Series(np.where(known, first, 0), dtype="Int64").where(known)})
+    return pd.DataFrame({"h1": h1, "h2": h2, "owner": batch["owner"], "n": batch["n"], "first_owner": pd.Series(np.where(known, first, 0)).astype("Int64").where(known)})
 
 
 def arrival_batches(rows: DataFrame, order: str, n: int) -> Iterator[Column]:
@@ -110,8 +112,6 @@ def surplus_deliveries(spark: SparkSession, keyed: DataFrame, path: str, batches
     ``row_id`` ascends in order of arrival; the first row of each identifier is kept. The index grows batch
     by batch under ``path``; ``keyed`` should be stored, as it is read once a batch and once more at the end.
     """
-    from cohortspark.operators.skew import hot_keys, salted_join
-
     index, results = IdentifierIndex(spark, path, prefixes), []
     total = keyed.count()
     for condition in arrival_batches(keyed, "row_id", batches):

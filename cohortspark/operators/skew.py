@@ -28,14 +28,14 @@ def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], hot: DataFr
     ``hot`` holds the hot keys (see :func:`hot_keys`, hence safe to broadcast), ``spread`` is an
     expression over ``rows`` that differs between rows of one key. Rows with a null key don't match.
     """
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    left = rows.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    right = unique.join(marked, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    marked = F.broadcast(hot.withColumn("__skew_hot", F.lit(True)))
+    left = rows.join(marked, keys, "left").withColumn("__skew_salt", F.when(F.col("__skew_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__skew_hot")
+    right = unique.join(marked, keys, "left").withColumn("__skew_salt", F.explode(F.when(F.col("__skew_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__skew_hot")
+    return left.join(right, [*keys, "__skew_salt"]).drop("__skew_salt")
 
 
 def spread_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """:func:`salted_join` that finds the hot keys of ``rows`` itself; ``rows`` is read twice, so pass a stored table."""
     total = rows.count()
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return salted_join(rows, unique, keys, hot_keys(counts, keys, "_n", total), spread)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__skew_n"))
+    return salted_join(rows, unique, keys, hot_keys(counts, keys, "__skew_n", total), spread)

@@ -71,7 +71,8 @@ def fact_response(response: DataFrame, session: DataFrame, placement: DataFrame,
     An answer without any of the first four is left out. The numeric value is the answer's own, else for choices the
     option's value as a number; boolean questions get a typed value from ``true`` and ``false``.
     """
-    r = response.where(F.col("response_id") > after)
+    own = ["response_id", "session_id", "qq_id", "option_id", "grid_row_id", "grid_column_id", "repeat_index", "response_text", "response_numeric", "response_date"]
+    r = response.where(F.col("response_id") > after).select(*own)
     s = session.select("session_id", "respondent_id", "started_at", "completed_at", "admin_mode", "is_proxy", "interviewer_id")
     p = placement.select("qq_id", "questionnaire_id", "question_id")
     q = question.select("question_id", "question_type", F.col("concept_id").alias("question_concept_id"))

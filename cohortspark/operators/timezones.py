@@ -82,16 +82,16 @@ def to_utc(parsed: DataFrame, zones: DataFrame) -> DataFrame:
     spark = parsed.sparkSession
     used = [r[0] for r in zones.select("time_zone").where("time_zone is not null").distinct().limit(len(known_zones())).collect()]
     short = [(z, a.lower(), m) for z in used for a, m in abbreviations(z).items()]
-    names = F.broadcast(spark.createDataFrame(short, "time_zone string, _abbr string, _minutes int"))
-    full = F.broadcast(spark.createDataFrame([(z.lower(), z) for z in known_zones()], "_abbr string, _zone string"))
+    names = F.broadcast(spark.createDataFrame(short, "time_zone string, __tz_abbr string, __tz_minutes int"))
+    full = F.broadcast(spark.createDataFrame([(z.lower(), z) for z in known_zones()], "__tz_abbr string, __tz_zone string"))
     zone = F.col("parts.zone")
-    df = parsed.withColumn("_abbr", F.when(F.col("parts.kind") == "zoned", zone)).join(broadcast_if_small(zones.select("site", "time_zone")), "site", "left")
-    df = df.join(names, ["time_zone", "_abbr"], "left").join(full, "_abbr", "left")
+    df = parsed.withColumn("__tz_abbr", F.when(F.col("parts.kind") == "zoned", zone)).join(broadcast_if_small(zones.select("site", "time_zone")), "site", "left")
+    df = df.join(names, ["time_zone", "__tz_abbr"], "left").join(full, "__tz_abbr", "left")
     us = F.col("parts.us")
     return df.withColumn(
         "utc_us",
         F.when(F.col("parts.kind") == "instant", us)
         .when(F.col("parts.kind") == "local", local_to_utc(us, F.col("time_zone")))
-        .when(F.col("_minutes").isNotNull(), us - F.col("_minutes").cast("bigint") * 60_000_000)
-        .when(F.col("_zone").contains("/"), local_to_utc(us, F.col("_zone"))),
-    ).drop("_abbr", "_minutes", "_zone", "time_zone")
+        .when(F.col("__tz_minutes").isNotNull(), us - F.col("__tz_minutes").cast("bigint") * 60_000_000)
+        .when(F.col("__tz_zone").contains("/"), local_to_utc(us, F.col("__tz_zone"))),
+    ).drop("__tz_abbr", "__tz_minutes", "__tz_zone", "time_zone")

@@ -29,8 +29,12 @@ def query(sql: str | None):
     return add
 
 
+_FACT = """response_id session_id respondent_id questionnaire_id study_id question_id option_id repeat_index response_text response_numeric response_date response_boolean
+option_value question_concept_id option_concept_id response_date_key admin_mode loaded_at""".split()
+
+
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "fact_response")
+    return table(spark, folder, "fact_response").select(*_FACT)
 
 
 def _typed(spark: SparkSession, folder: str, *types: str) -> DataFrame:
