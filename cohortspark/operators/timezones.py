@@ -33,9 +33,9 @@ def parse_values(values: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def lag_limit(parsed: DataFrame) -> float | None:
-    """Lag in seconds, behind the moment, within which 90 % of the values with an explicit zone were ingested."""
+    """Lag in seconds, behind the moment, within which 80 % of the values with an explicit zone were ingested."""
     explicit = parsed.where((F.col("parts.kind") == "instant") & F.col("arrived_us").isNotNull()).select(((F.col("arrived_us") - F.col("parts.us")) / 1e6).alias("lag")).where("lag >= 0")
-    row = explicit.agg(F.percentile_approx("lag", 0.9, 1000).alias("limit")).first()
+    row = explicit.agg(F.percentile_approx("lag", 0.8, 1000).alias("limit")).first()
     return row["limit"]
 
 
