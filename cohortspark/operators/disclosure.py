@@ -117,17 +117,42 @@ def _branches_aggregate(plan) -> bool:
     return False
 
 
+def _origins(plan) -> dict[int, set]:
+    """For each aliased attribute the attributes it is made of, as (id, name)."""
+    made: dict[int, set] = {}
+    for node in _nodes(plan):
+        for e in _expressions(node):
+            if _kind(e) == "Alias":
+                inside = {(x.exprId().id(), x.name().lower()) for x in _walk(e.child(), lambda x: _list(x.children())) if _kind(x) == "AttributeReference"}
+                made.setdefault(e.exprId().id(), set()).update(inside)
+    return made
+
+
+def _names(ident: int, name: str, made: dict[int, set]) -> set[str]:
+    """All names that an attribute has had on its way through the plan."""
+    found, todo, seen = {name}, [ident], set()
+    while todo:
+        if (i := todo.pop()) not in seen:
+            seen.add(i)
+            for origin, n in made.get(i, ()):
+                found.add(n)
+                todo.append(origin)
+    return found
+
+
 def _identifying_output(plan) -> str | None:
-    """Name of an identifying column that the outermost aggregates take the least, greatest or any value of, or group by."""
+    """Name of an identifying column, under whatever alias, that an aggregate takes the least, greatest or any value of, or groups by."""
+    made = _origins(plan)
     for node in _nodes(plan):
         if _kind(node) != "Aggregate":
             continue
-        tops = [*_list(node.aggregateExpressions()), *_list(node.groupingExpressions())]
-        for top in tops:
-            counted = any(_kind(e) in ("Count", "ApproxCountDistinct", "HyperLogLogPlusPlus") for e in _walk(top, lambda x: _list(x.children())))
-            for e in _walk(top, lambda x: _list(x.children())):
-                if _kind(e) == "AttributeReference" and e.name().lower() in BLOCKED and not counted:
-                    return e.name()
+        for top in [*_list(node.aggregateExpressions()), *_list(node.groupingExpressions())]:
+            parts = list(_walk(top, lambda x: _list(x.children())))
+            if any(_kind(e) in ("Count", "HyperLogLogPlusPlus") for e in parts):
+                continue
+            for e in parts:
+                if _kind(e) == "AttributeReference" and (hit := _names(e.exprId().id(), e.name().lower(), made) & set(BLOCKED)):
+                    return min(hit)
     return None
 
 
