@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import semantics
-from cohortspark.operators import disclosure, graphs, ranges, response_atoms, scoring, star
+from cohortspark.operators import disclosure, equivalence, graphs, ranges, response_atoms, scoring, star, upsert
 from cohortspark.operators.skew import broadcast_if_small
+from cohortspark.plans import report
 from cohortspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +452,154 @@ def orders_by_segment(spark, folder):
 def federated_counts(spark, folder):
     _facts(spark, folder).createOrReplaceTempView("fact_response")
     return disclosure.run_federated(spark, "SELECT question_id, option_value, COUNT(*) AS n FROM fact_response WHERE option_value IS NOT NULL GROUP BY question_id, option_value", 5).rows
+
+
+# --- grids, ranks and reports ----------------------------------------------------------------------------------------------
+
+_ATOMS_SQL = """
+WITH a AS (SELECT rec_no, COALESCE(status, 'completed') AS status, NULL::VARCHAR AS up, UNNEST(item) AS x FROM gout_checkin_fhir_responses),
+b AS (SELECT rec_no, status, x.linkId AS up, UNNEST(x.item) AS x FROM a), c AS (SELECT rec_no, status, x.linkId AS up, UNNEST(x.item) AS x FROM b),
+r AS (SELECT rec_no, status, up, x.linkId AS link_id, UNNEST(x.answer) AS y FROM a UNION ALL SELECT rec_no, status, up, x.linkId, UNNEST(x.answer) FROM b UNION ALL SELECT rec_no, status, up, x.linkId, UNNEST(x.answer) FROM c)"""
+
+
+def _atoms(spark, folder):
+    return response_atoms.answer_atoms(table(spark, folder, "gout_checkin_fhir_responses"))
+
+
+_GRID_SQL = _ATOMS_SQL + r""", g AS (SELECT up AS grid, CAST(regexp_extract(link_id, '\.r(\d+)$', 1) AS INTEGER) AS row, COALESCE(y.valueCoding.code, y.valueCoding.display) AS code FROM r WHERE y.valueCoding IS NOT NULL AND regexp_matches(link_id, '\.r\d+$'))"""
+
+
+def _grid(spark, folder):
+    row = F.regexp_extract("link_id", r"\.r(\d+)$", 1)
+    return _atoms(spark, folder).where((F.col("kind") == "coding") & (row != "")).select(F.col("parent_link_id").alias("grid"), row.cast("int").alias("row"), "code")
+
+
+@query(_GRID_SQL + " SELECT grid, row, code, COUNT(*) AS n FROM g GROUP BY 1, 2, 3")
+def grid_counts(spark, folder):
+    return _grid(spark, folder).groupBy("grid", "row", "code").agg(F.count("*").alias("n"))
+
+
+@query(_GRID_SQL + """ SELECT grid, row, COUNT(*) AS total, COUNT(*) FILTER (WHERE code = '0') AS n_0, COUNT(*) FILTER (WHERE code = '1') AS n_1, COUNT(*) FILTER (WHERE code = '2') AS n_2,
+  round_even(100.0 * COUNT(*) FILTER (WHERE code = '0') / COUNT(*)::DOUBLE, 1) AS pct_0, round_even(100.0 * COUNT(*) FILTER (WHERE code = '1') / COUNT(*)::DOUBLE, 1) AS pct_1, round_even(100.0 * COUNT(*) FILTER (WHERE code = '2') / COUNT(*)::DOUBLE, 1) AS pct_2 FROM g GROUP BY 1, 2""")
+def grid_table(spark, folder):
+    return report.grid_table(_grid(spark, folder), ["0", "1", "2"])
+
+
+@query(_ATOMS_SQL + """, k AS (SELECT link_id, COALESCE(y.valueCoding.code, y.valueCoding.display) AS code, list_filter(y.extension, lambda e: e.url LIKE '%ordinal%')[1].valueDecimal AS rank FROM r WHERE y.valueCoding IS NOT NULL)
+SELECT link_id, code, COUNT(*) AS n, ROUND(AVG(rank), 6) AS mean_rank, COUNT(*) FILTER (WHERE rank = 1) AS n_first FROM k WHERE rank IS NOT NULL GROUP BY 1, 2""")
+def ranked_mean(spark, folder):
+    r = _atoms(spark, folder).where("rank is not null")
+    return r.groupBy("link_id", "code").agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.count_if(F.col("rank") == 1).alias("n_first"))
+
+
+@query("""
+WITH i AS (SELECT rec_no, UNNEST(item) AS x FROM gout_checkin_fhir_responses), v AS (SELECT rec_no, COUNT(*) AS visits FROM i WHERE x.linkId = 'gout.visit' GROUP BY 1)
+SELECT visits, COUNT(*) AS n_records FROM v GROUP BY 1""")
+def visits_per_record(spark, folder):
+    items = table(spark, folder, "gout_checkin_fhir_responses").select("rec_no", F.explode("item").alias("x"))
+    return items.where("x.linkId = 'gout.visit'").groupBy("rec_no").agg(F.count("*").alias("visits")).groupBy("visits").agg(F.count("*").alias("n_records"))
+
+
+@query(f"""
+WITH s AS ({_SESSION_SQL}) SELECT COUNT(DISTINCT respondent_id) AS n_respondents, COUNT(*) AS n_sessions, ROUND(100 * AVG(is_complete::INTEGER), 1) AS pct_complete,
+       MIN(CAST(COALESCE(completed_at, started_at) AS DATE)) AS first_day, MAX(CAST(COALESCE(completed_at, started_at) AS DATE)) AS last_day FROM s""")
+def report_overview(spark, folder):
+    return report.overview(_sessions(spark, folder))
+
+
+@query("""
+WITH n AS (SELECT question_id, option_value, COUNT(*) AS n FROM fact_response WHERE option_value IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT question_id, option_value, MIN(option_id) AS option_id FROM fact_response WHERE option_value IS NOT NULL GROUP BY 1, 2)
+SELECT q.link_id, n.option_value, 'option ' || l.option_id AS option_text, l.option_id AS display_order, n.n, ROUND(100.0 * n.n / (SUM(n.n) OVER (PARTITION BY n.question_id))::DOUBLE, 1) AS pct
+FROM n JOIN question q ON q.question_id = n.question_id LEFT JOIN l ON l.question_id = n.question_id AND l.option_value = n.option_value""")
+def report_choices(spark, folder):
+    f = _facts(spark, folder)
+    options = f.where("option_value is not null").groupBy("question_id", "option_value").agg(F.min("option_id").alias("display_order")).withColumn("option_text", F.concat(F.lit("option "), F.col("display_order")))
+    return report.choice_table(f, table(spark, folder, "question"), options)
+
+
+@query("SELECT question_id, COUNT(*) AS n FROM fact_response WHERE response_text IS NOT NULL OR response_date IS NOT NULL GROUP BY 1")
+def report_open_answers(spark, folder):
+    return report.open_answers(_facts(spark, folder))
+
+
+@query(_SCORE_SQL + " SELECT 'mood sum' AS name, COUNT(*) AS n, ROUND(AVG(score), 1) AS mean, MEDIAN(score) AS median, MIN(score) AS least, MAX(score) AS most FROM scored")
+def report_scores(spark, folder):
+    return report.score_statistics(_scores(spark, folder))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT questionnaire_id, question_id FROM fact_response) SELECT u.questionnaire_id, p.display_order, q.link_id, q.question_text, q.question_type, NULL::VARCHAR AS parent_link_id
+FROM u JOIN questionnaire_question p ON p.questionnaire_id = u.questionnaire_id AND p.question_id = u.question_id JOIN question q ON q.question_id = u.question_id""")
+def report_questions(spark, folder):
+    placements = table(spark, folder, "questionnaire_question").withColumn("parent_qq_id", F.lit(None).cast("bigint"))
+    return report.question_list(_facts(spark, folder), table(spark, folder, "question"), placements)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT question_id AS a, CAST(question_concept_id AS BIGINT) AS b FROM fact_response WHERE question_concept_id IS NOT NULL), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a), g AS (SELECT node, MAX(other) AS root FROM r GROUP BY 1), k AS (SELECT node AS question_id, DENSE_RANK() OVER (ORDER BY root) AS group_id FROM g)
+SELECT k.group_id, COUNT(*) AS n, ROUND(AVG(f.response_numeric), 6) AS mean, COUNT(DISTINCT f.question_id) AS n_questions FROM fact_response f JOIN k ON k.question_id = f.question_id WHERE f.response_numeric IS NOT NULL GROUP BY 1""")
+def pooled_by_equivalence(spark, folder):
+    """Numeric answers pooled over questions that share a concept."""
+    f = _facts(spark, folder)
+    edges = f.where("question_concept_id is not null").select(F.col("question_id").alias("src"), F.col("question_concept_id").cast("bigint").alias("dst")).distinct()
+    p = equivalence.pooled(f, graphs.equivalence_groups(edges))
+    return p.select("group_id", "n", F.round("mean", 6).alias("mean"), "n_questions")
+
+
+@query("""
+SELECT session_id, MAX(CASE WHEN question_id = 155 THEN response_numeric END) AS hours, MAX(CASE WHEN question_id = 158 THEN response_numeric END) AS rest, BOOL_OR(CASE WHEN question_id = 164 THEN response_boolean END) AS snored
+FROM fact_response WHERE questionnaire_id = 3 GROUP BY 1 HAVING MAX(CASE WHEN question_id = 155 THEN response_numeric END) IS NOT NULL""")
+def two_question_pivot(spark, folder):
+    on = lambda q, c: F.when(F.col("question_id") == q, F.col(c))
+    p = _facts(spark, folder).where("questionnaire_id = 3").groupBy("session_id").agg(F.max(on(155, "response_numeric")).alias("hours"), F.max(on(158, "response_numeric")).alias("rest"), F.bool_or(on(164, "response_boolean")).alias("snored"))
+    return p.where("hours is not null")
+
+
+@query("""
+SELECT question_concept_id AS concept_id, CAST(DATE_TRUNC('month', response_date_key) AS DATE) AS month, COUNT(*) AS n, COUNT(DISTINCT respondent_id) AS n_respondents, MODE(admin_mode ORDER BY admin_mode) IS NOT NULL AS has_mode,
+       BIT_OR(repeat_index) AS repeats, ARG_MAX(response_id, loaded_at) IS NOT NULL AS any_loaded FROM fact_response WHERE question_concept_id IS NOT NULL GROUP BY 1, 2""")
+def by_concept(spark, folder):
+    return (
+        _facts(spark, folder)
+        .where("question_concept_id is not null")
+        .groupBy(F.col("question_concept_id").alias("concept_id"), F.trunc("response_date_key", "month").alias("month"))
+        .agg(F.count("*").alias("n"), F.countDistinct("respondent_id").alias("n_respondents"), F.mode("admin_mode").isNotNull().alias("has_mode"), F.bit_or("repeat_index").alias("repeats"), F.max_by("response_id", "loaded_at").isNotNull().alias("any_loaded"))
+    )
+
+
+@query("""
+WITH n AS (SELECT site_code, questionnaire_id, COUNT(*) AS n FROM response_session WHERE site_code IS NOT NULL GROUP BY 1, 2)
+SELECT site_code, SUM(n)::BIGINT AS n, MAP_FROM_ENTRIES(LIST(ROW(questionnaire_id, n) ORDER BY questionnaire_id))::VARCHAR AS by_questionnaire FROM n GROUP BY 1""")
+def site_histogram(spark, folder):
+    n = table(spark, folder, "response_session").where("site_code is not null").groupBy("site_code", "questionnaire_id").agg(F.count("*").alias("n"))
+    entry = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("questionnaire_id", "n"))), lambda e: F.concat(e["questionnaire_id"], F.lit("="), e["n"])), ", ")
+    return n.groupBy("site_code").agg(F.sum("n").alias("n"), F.concat(F.lit("{"), entry, F.lit("}")).alias("by_questionnaire"))
+
+
+_MERGE_SQL = """
+WITH s AS (SELECT *, CASE WHEN batch_id < 'b2024-06' THEN 0 ELSE 1 END AS source, CASE WHEN fhir_response_id <> '' THEN 'id:' || fhir_response_id ELSE concat('at:', respondent_id, '|', questionnaire_id, '|', COALESCE(started_at, '~')) END AS k FROM response_session),
+w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY source, session_id) AS rn FROM s)"""
+
+
+@query(_MERGE_SQL + " SELECT ROW_NUMBER() OVER (ORDER BY source, session_id) AS session_id, source, session_id AS old_id FROM w WHERE rn = 1")
+def merged_sessions(spark, folder):
+    """Sessions of two deliveries merged by natural key, the earlier winning, with new ids."""
+    s = table(spark, folder, "response_session").select("session_id", "respondent_id", "questionnaire_id", "started_at", "fhir_response_id", "batch_id")
+    natural = F.when(F.length("fhir_response_id") > 0, F.concat(F.lit("id:"), F.col("fhir_response_id"))).otherwise(F.concat(F.lit("at:"), "respondent_id", F.lit("|"), "questionnaire_id", F.lit("|"), F.coalesce("started_at", F.lit("~"))))
+    s = s.withColumn("natural", natural)
+    kept, _ = upsert.first_wins([s.where("batch_id < 'b2024-06'"), s.where("batch_id is null or batch_id >= 'b2024-06'")], ["natural"], "session_id")
+    return kept.select(F.col("new_id").alias("session_id"), "source", F.col("session_id").alias("old_id"))
+
+
+def wide_fhir_profile(spark, folder):
+    """Null shares of the responses' top columns, as a profile of a nested table."""
+    t = table(spark, folder, "gout_checkin_fhir_responses")
+    names = [c for c in t.columns if c != "rec_no"]
+    one = t.agg(F.count("*").alias("total"), *(F.count_if(F.col(c).isNull()).alias(c) for c in names))
+    return one.select("total", F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_null")) for c in names))))
+
+
+QUERIES["wide_fhir_profile"] = wide_fhir_profile
+SQL["wide_fhir_profile"] = " UNION ALL ".join(f"SELECT COUNT(*) AS total, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null FROM gout_checkin_fhir_responses" for c in ("resourceType", "id", "status", "questionnaire", "authored", "subject", "item"))
