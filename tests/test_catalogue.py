@@ -48,7 +48,7 @@ def test_queries_against_another_engine(spark):
 @pytest.mark.parametrize("name", ["question_distribution", "numeric_statistics", "respondent_scores", "equivalence_groups", "merged_sessions", "response_codes", "grid_table", "errata_sessions", "choice_distribution"])
 def test_empty_and_null_tables(spark, study, name):
     assert catalogue.QUERIES[name](spark, study()).count() == 0
-    catalogue.QUERIES[name](spark, study(", n int, label string, score double, top double, source string", **{t: [{}, {}] for t in ("fact_response", "question", "response_session", "concept_relationship", "gout_checkin_fhir_responses", "phq9_fhir_responses", "documents")})).collect()
+    catalogue.QUERIES[name](spark, study(", n int, label string, score double, top double, old_id bigint", **{t: [{}, {}] for t in ("fact_response", "question", "response_session", "concept_relationship", "gout_checkin_fhir_responses", "phq9_fhir_responses", "documents")})).collect()
 
 
 def test_equivalence(spark):
