@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.skew import hot_keys, salted_join
 
+#: Identifiers in one sorted array that a task handles easily.
+ARRAY = 100_000
 RUN = "prefix int, h1 array<bigint>, h2 array<bigint>, owner array<bigint>"
 _FOUND = "h1 bigint, h2 bigint, owner bigint, n bigint, first_owner bigint"
 
@@ -94,6 +96,11 @@ def _search(batch: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"h1": h1, "h2": h2, "owner": batch["owner"], "n": batch["n"], "first_owner": pd.Series(np.where(known, first, 0)).astype("Int64").where(known)})
 
 
+def prefixes_for(identifiers: int) -> int:
+    """Hash prefixes, a power of two, with which the arrays of so many identifiers hold about ARRAY each; at least 16."""
+    return max(16, 1 << max(0, identifiers // ARRAY).bit_length())
+
+
 def arrival_batches(rows: DataFrame, order: str, n: int) -> Iterator[Column]:
     """Conditions that split ``rows`` into about ``n`` batches by ``order``; an empty table gives none."""
     cuts = rows.stat.approxQuantile(order, [i / n for i in range(1, n)], 0.01) if n > 1 else []
@@ -106,14 +113,15 @@ def arrival_batches(rows: DataFrame, order: str, n: int) -> Iterator[Column]:
         yield (F.lit(True) if low is None else c > low) & (F.lit(True) if high is None else c <= high)
 
 
-def surplus_deliveries(spark: SparkSession, keyed: DataFrame, path: str, batches: int = 4, prefixes: int = 256) -> DataFrame:
+def surplus_deliveries(spark: SparkSession, keyed: DataFrame, path: str, batches: int = 4, prefixes: int | None = None) -> DataFrame:
     """Surplus rows of ``keyed`` (row_id bigint, h1, h2): kept_id, row_id, hot identifiers spread over tasks.
 
     ``row_id`` ascends in order of arrival; the first row of each identifier is kept. The index grows batch
-    by batch under ``path``; ``keyed`` should be stored, as it is read once a batch and once more at the end.
+    by batch under ``path``; ``keyed`` should be stored, as it is read once a batch and once more at the end. The number
+    of hash prefixes follows the number of identifiers.
     """
-    index, results = IdentifierIndex(spark, path, prefixes), []
     total = keyed.count()
+    index, results = IdentifierIndex(spark, path, prefixes or prefixes_for(total)), []
     for condition in arrival_batches(keyed, "row_id", batches):
         part = keyed.where(condition)
         found = index.absorb(part.select("h1", "h2", F.col("row_id").alias("owner")))

@@ -4,7 +4,9 @@ import sys
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -57,7 +59,12 @@ def study(spark, tmp_path):
         folder = str(tmp_path / "study")
         for name, schema in SCHEMAS.items():
             schema = schema + extra
-            columns = spark.createDataFrame([], schema).columns
+            empty = spark.createDataFrame([], schema)
+            if name not in tables:
+                Path(folder).mkdir(exist_ok=True)
+                pq.write_table(to_arrow_schema(empty.schema).empty_table(), f"{folder}/{name}.parquet")
+                continue
+            columns = empty.columns
             rows = [tuple(r.get(c) for c in columns) for r in tables.get(name, [])]
             spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
         return folder
