@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.skew import hot_keys, salted_join
 from cohortspark.operators.storage import stored
 
 
@@ -14,23 +15,23 @@ def components(edges: DataFrame, label: str = "min", rounds: int = 60) -> DataFr
     Large stars and small stars alternate: each round links every node's greater neighbours to its least neighbour, which
     takes a logarithmic number of rounds also on long chains. Each round is stored, so lineage stays short. Null ends and
     loops are dropped; a node without edges doesn't occur. Neighbour lists are never gathered: the least neighbour
-    comes from partial aggregation.
+    comes from partial aggregation, and a node with a large share of all edges is spread over tasks in the joins.
     """
     sign = 1 if label == "min" else -1
     e = edges.select((F.col("src") * sign).alias("a"), (F.col("dst") * sign).alias("b")).where("a is not null and b is not null and a <> b")
     current = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, total = None, 2 * current.count()
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select("b", "m").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = salted_join(both, least.drop("n"), ["a"], hot_keys(least, ["a"], "n", total), F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, low.drop("n"), ["a"], hot_keys(low, ["a"], "n", total), F.col("b")).where("b <> m").select("b", "m").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         current = stored(small, "edges")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state[0]
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     found = current.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(found, nodes.node == found.a, "left").select((F.col("node") * sign).alias("node"), (F.coalesce("m", "node") * sign).alias("component"))

@@ -22,7 +22,7 @@ def synthetic_answers(spark: SparkSession, questions: DataFrame, options: DataFr
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("display_order", "option_value"))), lambda o: o["option_value"])
     held = questions.join(options.groupBy("question_id").agg(ordered.alias("values")), "question_id", "left")
     sheet = held.agg(F.array_sort(F.collect_list(F.struct("question_id", "question_type", "numeric_min", "numeric_max", "values"))).alias("sheet"))
-    rows = spark.range(1, sessions + 1).withColumnRenamed("id", "session_id").crossJoin(F.broadcast(sheet)).select("session_id", F.inline("sheet"))
+    rows = spark.range(1, sessions + 1).select(F.col("id").alias("session_id"), sheet.scalar().alias("sheet")).select("session_id", F.inline("sheet"))
     key = (F.lit(seed), F.col("session_id"), F.col("question_id"))
     rows = rows.where(_draw(F.lit("answered"), *key) < answered)
     several = F.filter("values", lambda v: _draw(F.lit("each"), *key, v) < 0.4)

@@ -74,8 +74,7 @@ FROM fact_response f JOIN question q ON q.question_id = f.question_id, a WHERE q
 def multi_choice_rates(spark, folder):
     total = _facts(spark, folder).agg(F.countDistinct("session_id").alias("total"))
     n = _typed(spark, folder, "multiple_choice").groupBy("link_id", F.lower(F.trim(F.translate("option_value", "\t", " "))).alias("code")).agg(F.count("*").alias("n_rows"), F.countDistinct("session_id").alias("n_sessions"))
-    # the total is one row
-    return n.crossJoin(F.broadcast(total)).withColumn("pct", _share("n_sessions", "total")).drop("total")
+    return n.withColumn("total", total.scalar()).withColumn("pct", _share("n_sessions", "total")).drop("total")
 
 
 @query("""
@@ -254,7 +253,7 @@ def score_categories(spark, folder):
     s = _scores(spark, folder)
     n = s.groupBy("category").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     total = n.agg(F.sum("n").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("category", "n", _share("n", "total").alias("pct"), "least")
+    return n.withColumn("total", total.scalar()).select("category", "n", _share("n", "total").alias("pct"), "least")
 
 
 @query(_SCORE_SQL + ", m AS (SELECT DISTINCT session_id, admin_mode FROM fact_response) SELECT m.admin_mode, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean, MEDIAN(score) AS median, MIN(score) AS least, MAX(score) AS most FROM scored JOIN m ON m.session_id = scored.session_id GROUP BY 1")
