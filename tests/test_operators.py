@@ -273,3 +273,26 @@ def test_sql_file_and_instrument(spark):
     assert rows["response_option"][0]["option_value"] == "y" and rows["questionnaire_question"][2]["parent_qq_id"] == 2
     with pytest.raises(ValueError):
         study_files.read_instrument(text.replace("link_id: h", "link_id: a"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cohortspark.__main__ import main
+
+    folder = tmp_path / "in"
+    spark.createDataFrame([(i % 9, "a" if i else "b") for i in range(30)], "session_id int, option_value string").write.parquet(str(folder / "answers.parquet"))
+    assert main(["list"]) == 0 and "p4_found" in capsys.readouterr().out
+    sql = tmp_path / "q.sql"
+    sql.write_text("SELECT option_value, COUNT(*) AS n FROM answers GROUP BY option_value")
+    assert main(["federated", str(sql), str(folder)]) == 0
+    assert json.loads(capsys.readouterr().out)["rows"] == [{"option_value": "a", "n": 29}]
+    sql.write_text("SELECT session_id FROM answers")
+    assert main(["federated", str(sql), str(folder)]) == 1
+    assert main(["export", str(folder), str(tmp_path / "out")]) == 0 and (tmp_path / "out" / "answers.parquet").exists()
+
+
+def test_shared_folder(spark):
+    from cohortspark.operators import storage
+
+    assert storage.new_path(spark, "x").startswith(storage.shared_dir(spark))
+    df = spark.range(3)
+    assert storage.stored(df, "x").count() == 3
