@@ -50,5 +50,5 @@ def code(c: Column) -> Column:
 
 
 def two_decimals(c: Column) -> Column:
-    """A number with exactly two decimals after a point."""
-    return c.cast("decimal(38,2)").cast("string")
+    """A number with exactly two decimals after a point; null beyond 36 digits."""
+    return c.try_cast("decimal(38,2)").cast("string")

@@ -26,8 +26,8 @@ def plain_number(c: Column) -> Column:
 
 
 def half_even_int(c: Column) -> Column:
-    """Integer nearest to a double, halves to the even one."""
-    return F.rint(c).cast("int")
+    """Integer nearest to a double, halves to the even one; null if it is too large."""
+    return F.rint(c).try_cast("int")
 
 
 def day_of_week(c: Column) -> Column:

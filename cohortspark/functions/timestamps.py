@@ -63,7 +63,7 @@ def _epoch(v: Column) -> Column:
     n = v.try_cast("decimal(38,9)")
     size = F.abs(n)
     us = F.when(size < 100_000_000_000, n * 1_000_000).when(size < 100_000_000_000_000, n * 1000).when(size < 100_000_000_000_000_000, n).otherwise(n / 1000)
-    return F.when(n.isNotNull(), F.struct(F.lit("instant").alias("kind"), F.floor(us).cast("bigint").alias("us"), F.lit(None).cast("string").alias("zone")))
+    return F.when(size < 9_000_000_000_000_000_000, F.struct(F.lit("instant").alias("kind"), F.floor(us).cast("bigint").alias("us"), F.lit(None).cast("string").alias("zone")))
 
 
 def _calendar_steps(p: Column, date_order: Column) -> list[dict[str, Column]]:

@@ -121,7 +121,7 @@ def test_wide_values(spark, study):
         answer(10, 4, response_text="28.12.2022"), answer(11, 4, session=2, response_text="12 Jan 2023"), answer(12, 4, session=3, response_date=dt.date(2020, 2, 29)), answer(13, 4, session=4, response_text="31.02.2022"),
         answer(14, 5, response_text="  hello "), answer(15, 5, session=2, response_text="   "), answer(16, 5, session=3, response_text="n/a"),
         answer(17, 6, option_value=" Few_Days\t"), answer(18, 6, at="2023-01-01", option_value="daily"), answer(19, 6, session=2, repeat_index=0, option_value="never"),
-        answer(20, 7, option_value="B "), answer(21, 7, option_value="a"), answer(22, 7, option_value="b"), answer(23, 99, option_value="x"), answer(24, None, option_value="x"), answer(25, 6, session=None, option_value="x"),
+        answer(26, 1, session=9, response_numeric=1e60), answer(27, 1, session=9, response_text="9" * 400), answer(20, 7, option_value="B "), answer(21, 7, option_value="a"), answer(22, 7, option_value="b"), answer(23, 99, option_value="x"), answer(24, None, option_value="x"), answer(25, 6, session=None, option_value="x"),
     ]
     folder = study(question=QUESTIONS, fact_response=facts + facts[:3])
     assert rows_of(q.p4_found(spark, folder)) == sorted(
@@ -135,7 +135,7 @@ def test_wide_values(spark, study):
     wide = q.p4_wide(spark, folder)
     kinds = dict(wide.dtypes)
     assert (kinds["q.numeric"], kinds["q.boolean"], kinds["q.date"], kinds["q.likert"]) == ("double", "boolean", "date", "string")
-    assert wide.count() == 3
+    assert wide.count() == 4
 
 
 # --- 5: nested records ---------------------------------------------------------------------------------

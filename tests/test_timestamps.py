@@ -49,6 +49,10 @@ CASES = [
     ("BER", "1672878188", 1672878188 * 10**6),
     ("BER", "1672886737144", 1672886737144 * 1000),
     ("BER", "1.672878858E9", 1672878858 * 10**6),
+    ("BER", "1e25", None),
+    ("BER", "9" * 19, None),
+    ("BER", "1672878188000000000", 1672878188000000),
+    ("BER", "9" * 400, None),
     ("BER", "2023-03-26 02:30:00", None),  # skipped
     ("BER", "2023-10-29 02:30:00", us("2023-10-29T00:30:00")),  # twice: the earlier
     ("BER", "Oct 29, 2023 2:30:00 AM CET", us("2023-10-29T01:30:00")),  # the text decides
