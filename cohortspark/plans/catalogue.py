@@ -198,6 +198,19 @@ def cast_failures(spark, folder):
     return star.cast_failures({"response_session": (table(spark, folder, "response_session"), "session_id", {"started_at": "timestamp"}), "concept": (table(spark, folder, "concept"), "concept_id", {"valid_start_date": "date"})})
 
 
+@query(r"""
+WITH v AS (SELECT 'response_session' AS table_name, 'started_at' AS column_name, session_id AS row_id, started_at AS value, TRUE AS moment FROM response_session
+           UNION ALL SELECT 'response_session', 'completed_at', session_id, completed_at, TRUE FROM response_session
+           UNION ALL SELECT 'concept', 'valid_start_date', concept_id, valid_start_date, FALSE FROM concept
+           UNION ALL SELECT 'concept', 'valid_end_date', concept_id, valid_end_date, FALSE FROM concept)
+SELECT DISTINCT table_name, column_name, row_id, value FROM v WHERE value IS NOT NULL
+    AND CASE WHEN moment THEN NOT regexp_matches(value, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?$') OR TRY_CAST(value AS TIMESTAMP) IS NULL
+             ELSE NOT regexp_matches(value, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$') OR TRY_CAST(replace(value, '/', '-') AS DATE) IS NULL END""")
+def every_cast_failure(spark, folder):
+    """:func:`cast_failures` with the ends of sessions and of concepts, which its SQL leaves out."""
+    return star.cast_failures({"response_session": (table(spark, folder, "response_session"), "session_id", {"started_at": "timestamp", "completed_at": "timestamp"}), "concept": (table(spark, folder, "concept"), "concept_id", {"valid_start_date": "date", "valid_end_date": "date"})})
+
+
 @query("SELECT q.question_id, q.link_id, c.concept_name, c.vocabulary_id FROM (SELECT *, 4670 + (question_id % 100) + 229 AS concept_id FROM question) q LEFT JOIN concept c ON c.concept_id = q.concept_id")
 def dim_question(spark, folder):
     q = table(spark, folder, "question").withColumn("concept_id", F.lit(4670) + F.col("question_id") % 100 + 229)

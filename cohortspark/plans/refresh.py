@@ -2,7 +2,7 @@
 
 Every run writes its tables to folders of its own and takes effect by the one log entry that
 names them; a run that fails leaves no trace but unused folders, and can be repeated. Sessions
-and answers are appended by watermark, everything else is written anew.
+and answers are appended by watermark, unreadable dates once each, everything else is written anew.
 """
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import star
 
+#: Texts of the transactional tables that the star schema reads as dates or moments: table, its id, columns.
+DATES = {
+    "response_session": ("session_id", {"started_at": "timestamp", "completed_at": "timestamp"}),
+    "study": ("study_id", {"start_date": "date", "end_date": "date"}),
+    "response": ("response_id", {"response_date": "date"}),
+}
 LOG = "refresh_id int, started_at string, completed_at string, max_response_id bigint, max_session_id bigint, rows_loaded bigint, status string, tables string"
 
 
@@ -76,6 +82,8 @@ def refresh(spark: SparkSession, path: str, oltp: dict[str, DataFrame], extra: d
         put("agg_question_distribution", star.question_distribution(done["fact_response"]))
         put("agg_numeric_stats", star.numeric_statistics(done["fact_response"], oltp["question"]))
         put("agg_session_completion", star.session_completion(done["dim_session"]))
+        known = last["tables"].get("cast_failures") if not full else None
+        put("cast_failures", star.cast_failures({t: (oltp[t], *of) for t, of in DATES.items()}, spark.read.parquet(*known) if known else None), append=True)
         for name, make in (extra or {}).items():
             put(name, make(done))
         new = spark.read.parquet(f"{at}/fact_response").count()

@@ -51,6 +51,12 @@ def test_empty_and_null_tables(spark, study, name):
     catalogue.QUERIES[name](spark, study(", n int, label string, score double, top double, old_id bigint", **{t: [{}, {}] for t in ("fact_response", "question", "response_session", "concept_relationship", "gout_checkin_fhir_responses", "phq9_fhir_responses", "documents")})).collect()
 
 
+def test_every_cast_failure(spark, study):
+    folder = study(response_session=[{"session_id": 1, "started_at": "2024-05-05T10:00:00", "completed_at": "05.05.2024"}], concept=[{"concept_id": 2, "valid_start_date": "1970-01-01", "valid_end_date": "never"}])
+    want = [("concept", "valid_end_date", 2, "never"), ("response_session", "completed_at", 1, "05.05.2024")]
+    assert rows_of(catalogue.QUERIES["every_cast_failure"](spark, folder)) == want
+
+
 def test_equivalence(spark):
     schema = "question_id_1 int, question_id_2 int, relationship string, confidence string"
     table = equivalence.declare(spark.createDataFrame([], schema), spark.createDataFrame([(1, 2, "equivalent", "high"), (2, 3, "near_equivalent", "low"), (4, 5, "broader", "high")], schema))

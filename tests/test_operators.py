@@ -227,6 +227,20 @@ def test_refresh(spark, tmp_path):
     assert star.cast_failures({"study": (broken["study"], "study_id", {"end_date": "date"})}, failures).count() == 0
 
 
+def test_refresh_lists_unreadable_dates(spark, tmp_path):
+    path, tables = str(tmp_path / "star"), oltp(spark, [given(1, 1, 1, 2)])
+    late = F.when(F.col("session_id") == 1, "5 May, 10 am").otherwise(F.col("completed_at"))
+    tables["response_session"] = tables["response_session"].withColumn("completed_at", late)
+    tables["response"] = tables["response"].withColumn("response_date", F.lit("2024-13-01"))
+    want = [("response", "response_date", 1, "2024-13-01"), ("response_session", "completed_at", 1, "5 May, 10 am"), ("response_session", "started_at", 2, "tomorrow"), ("study", "end_date", 1, "soon")]
+    for full in (False, False, True):
+        refresh.refresh(spark, path, tables, full=full)
+        assert rows_of(refresh.star_table(spark, path, "cast_failures")) == want
+    tables["study"] = tables["study"].withColumn("end_date", F.lit("later"))
+    refresh.refresh(spark, path, tables)
+    assert rows_of(refresh.star_table(spark, path, "cast_failures")) == sorted([*want, ("study", "end_date", 1, "later")], key=str)
+
+
 def test_export(spark, tmp_path):
     tables = {"dim_study": spark.range(3).toDF("study_id"), "other": spark.range(2).toDF("x")}
     path = str(tmp_path / "out")
