@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cohortspark.operators.skew import hot_keys, salted_join
 from cohortspark.operators.storage import stored
 
+#: Levels of ancestors after which their tables are merged into one, so that plans stay small on long chains.
+MERGED_LEVELS = 20
+
 
 def components(edges: DataFrame, label: str = "min", rounds: int = 60) -> DataFrame:
     """node, component of an undirected graph (src, dst); the component's id is its least (``min``) or greatest (``max``) node.
@@ -32,6 +35,8 @@ def components(edges: DataFrame, label: str = "min", rounds: int = 60) -> DataFr
         if state == before:
             break
         before, total = state, 2 * state[0]
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     found = current.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(found, nodes.node == found.a, "left").select((F.col("node") * sign).alias("node"), (F.coalesce("m", "node") * sign).alias("component"))
@@ -46,24 +51,27 @@ def equivalence_groups(edges: DataFrame) -> DataFrame:
     return found.join(ids, "component").select("node", F.col("group_id").cast("bigint").alias("group_id"))
 
 
-def ancestors(edges: DataFrame, start: DataFrame | None = None, depth: int = 30) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """node, ancestor, depth: all ways up a directed graph (child, parent), the shortest for each pair; cycles end where they close.
 
-    ``start`` (node) limits the nodes asked for. Each level is stored; it ends when a level brings no new pair.
+    ``start`` (node) limits the nodes asked for. Each level is stored; it ends when a level brings no new pair, however
+    far that is.
     """
     e = edges.where("child is not null and parent is not null and child <> parent").select("child", "parent").distinct()
     level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     if start is not None:
         level = level.join(start.select("node").distinct(), "node", "left_semi")
     level = stored(level, "ancestors")
-    found = level
-    for d in range(2, depth + 1):
+    found, d = level, 1
+    while True:
+        d += 1
         step = level.join(e, level.ancestor == e.child).select("node", F.col("parent").alias("ancestor")).where("node <> ancestor").distinct()
         level = stored(step.join(found, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d)), "ancestors")
         if level.isEmpty():
-            break
+            return found
         found = found.unionByName(level)
-    return found
+        if d % MERGED_LEVELS == 0:
+            found = stored(found, "ancestors")
 
 
 def version_differences(old: DataFrame, new: DataFrame, of: list[str] | None = None) -> DataFrame:

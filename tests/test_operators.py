@@ -70,6 +70,17 @@ def test_ancestors(spark):
     assert {r.node for r in only.collect()} == {3}
 
 
+def test_ancestors_of_a_long_chain(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(35)] + [(35, 30)], "child bigint, parent bigint")
+    got = {(a, b): d for a, b, d in graphs.ancestors(df, spark.createDataFrame([(0,), (3,)], "node bigint")).collect()}
+    assert got == {(n, a): a - n for n in (0, 3) for a in range(n + 1, 36)}
+
+
+def test_components_that_do_not_settle(spark):
+    with pytest.raises(RuntimeError):
+        graphs.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src bigint, dst bigint"), rounds=1)
+
+
 def test_version_differences(spark):
     cols = "link_id string, question_text string, display_order int"
     old = spark.createDataFrame([("a", "A", 1), ("b", "B", 2), ("c", "C", 3), ("d", "D", 4), ("d", "D2", 9)], cols)
