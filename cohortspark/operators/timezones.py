@@ -39,14 +39,14 @@ def lag_limit(parsed: DataFrame) -> float | None:
     return row["limit"]
 
 
-def estimate_zones(parsed: DataFrame, sites: DataFrame, candidates: Iterable[str] = CANDIDATES) -> DataFrame:
+def estimate_zones(parsed: DataFrame, sites: DataFrame, candidates: Iterable[str] = CANDIDATES, clean: bool = False) -> DataFrame:
     """One row for each site with local values or a registry entry: site, time_zone (chosen), declared, n_local, declared_share, best_zone, best_share.
 
     ``parsed``: the result of :func:`parse_values` with ``arrived_us``, the UTC microseconds of ingestion.
     Each candidate is scored over all local values in one pass with partial aggregation; the lag limit
     is taken over all explicit values. Of candidates with equally few violations the registry's wins,
     then the first by name. Without a usable registry zone the best candidate is taken if there is any
-    evidence. Null sites are left out; an empty table gives the registry's zones.
+    evidence. A ``clean`` registry's usable zones stand whatever the values. Null sites are left out; an empty table gives the registry's zones.
     """
     known = set(known_zones())
     declared = sites.where(F.col("site").isNotNull()).select("site", F.when(F.col("time_zone").isin(*known), F.col("time_zone")).alias("declared"))
@@ -61,7 +61,7 @@ def estimate_zones(parsed: DataFrame, sites: DataFrame, candidates: Iterable[str
     share = F.map_from_arrays(F.array(*map(F.lit, zones)), F.array(*(F.col(f"v{i}") for i in range(len(zones)))))
     best = F.array_min(F.array(*(F.struct(F.col(f"v{i}").alias("share"), F.lit(z).alias("zone")) for i, z in enumerate(zones))))
     scored = declared.join(scores, "site", "full").withColumn("best", F.when(F.col("n_local") > 0, best)).withColumn("declared_share", F.try_element_at(share, F.col("declared")))
-    replaced = (F.col("n_local") >= EVIDENCE) & (F.col("declared_share") - F.col("best.share") > MARGIN)
+    replaced = F.lit(not clean) & (F.col("n_local") >= EVIDENCE) & (F.col("declared_share") - F.col("best.share") > MARGIN)
     return scored.select(
         "site",
         F.when(F.col("declared").isNull() | F.coalesce(replaced, F.lit(False)), F.col("best.zone")).otherwise(F.col("declared")).alias("time_zone"),

@@ -36,7 +36,7 @@ def _moments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     sites = _sites(spark, folder)
     values = _session_values(spark, folder).unionByName(_record_values(spark, folder)).where("value is not null")
     parsed = stored(timezones.parse_values(values, sites), "parsed-moments")
-    zones = stored(timezones.estimate_zones(parsed, sites), "site-zones")
+    zones = stored(timezones.estimate_zones(parsed, sites, clean=True), "site-zones")
     return parsed, zones
 
 

@@ -101,6 +101,14 @@ def test_zone_is_estimated_from_ingestion(spark, true_zone):
         assert row.time_zone == expected
 
 
+def test_clean_registry_zone_stands_on_any_number_of_values(spark, study):
+    base = dt.datetime(2023, 1, 1)
+    rows = [{"session_id": i, "site_code": "BER", "started_at": f"{base + dt.timedelta(hours=5 * i):%Y-%m-%d %H:%M:%S}", "created_at": f"{base + dt.timedelta(hours=5 * i + 5):%Y-%m-%dT%H:%M:%SZ}"} for i in range(240)]
+    rows += [r | {"session_id": 1000 + i, "started_at": f"{base + dt.timedelta(hours=5 * i + 4, minutes=50):%Y-%m-%dT%H:%M:%SZ}"} for i, r in enumerate(rows)]
+    zones = {r.site: r.time_zone for r in q.p1_site_zones(spark, study(study_site=SITES, response_session=rows)).collect()}
+    assert zones["BER"] == "Europe/Berlin"
+
+
 def test_clashing_columns_survive(spark):
     df = spark.createDataFrame([("2023-01-05T10:00:00Z", 1, 2)], "value string, parts_ int, _v int")
     out = with_parsed(df, "parts", df.value, df.value).first()
