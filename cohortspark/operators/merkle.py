@@ -1,9 +1,10 @@
 """Nested form responses as flat tables of distinct objects, with Merkle identities.
 
-Objects are hashed bottom-up over a canonical form: an answer over its JSON without absent
-fields, an item over its linkId, the hashes of its answers and those of its child items.
-Identical subtrees are stored once; every occurrence is kept by bridge rows (parent, child,
-ordinal) and by the roots (record, ordinal, item). ``rebuild`` is the exact inverse.
+Objects are canonicalised and hashed bottom-up: an answer over its present fields, an item
+over its linkId, the hashes of its answers and those of its child items. Identical objects
+are stored once; every occurrence is kept by rows that bridge record and place (the ordinals
+from the top) to the item there, and by parent-child rows with ordinals between the objects.
+The tables are an exact inverse of the records.
 """
 
 from __future__ import annotations
@@ -18,16 +19,40 @@ from cohortspark.functions.answers import two_decimals
 from cohortspark.operators.skew import spread_join
 from cohortspark.operators.storage import stored
 
+#: Distinct answers up to which their values are broadcast.
+SMALL = 100_000
+
 
 @dataclass(frozen=True)
 class FlatTables:
-    """records: rec_no, n_items (null for an absent array); roots: rec_no, ordinal, item_hash;
-    items: item_hash, link_id, answers (hashes by ordinal), children (hashes by ordinal); answers: answer_hash, value."""
+    """Tables over ``places``, one row for each occurrence of an item: rec_no, path (ordinals from the top, joined by
+    points), parent_link_id, item_hash (16 bytes), link_id, answers (hash and value by ordinal), children (hashes by ordinal)."""
 
     records: DataFrame
-    roots: DataFrame
-    items: DataFrame
-    answers: DataFrame
+    places: DataFrame
+
+    @property
+    def roots(self) -> DataFrame:
+        """rec_no, ordinal, item_hash of the items at the top; the hash of a null item is null."""
+        return self.places.where(~F.col("path").contains(".")).select("rec_no", F.col("path").cast("int").alias("ordinal"), _hex(F.col("item_hash")).alias("item_hash"))
+
+    @property
+    def items(self) -> DataFrame:
+        """item_hash, link_id, answers and children (hashes by ordinal) of the distinct items."""
+        return self.distinct_items().select(_hex(F.col("item_hash")).alias("item_hash"), "link_id", F.transform("answers", _hex).alias("answers"), F.transform("children", _hex).alias("children"))
+
+    @property
+    def answers(self) -> DataFrame:
+        """answer_hash, value of the distinct answers."""
+        return self.distinct_answers().select(_hex(F.col("answer_hash")).alias("answer_hash"), "value")
+
+    def distinct_items(self) -> DataFrame:
+        """:attr:`items` with hashes as bytes. Equal hashes stand for equal rows, so it is a plain distinct, combined before its shuffle."""
+        return self.places.where("item_hash is not null").select("item_hash", "link_id", F.col("answers.hash").alias("answers"), "children").distinct()
+
+    def distinct_answers(self) -> DataFrame:
+        """:attr:`answers` with hashes as bytes."""
+        return self.places.select(F.explode("answers").alias("a")).where("a.hash is not null").select(F.col("a.hash").alias("answer_hash"), "a.value").distinct()
 
     def bridges(self) -> DataFrame:
         """Parent-child rows: parent_hash, child_kind, ordinal, child_hash."""
@@ -40,56 +65,71 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _digest(c: Column) -> Column:
-    return F.md5(c)
+def _hex(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
+def _canonical(c: Column, kind: T.DataType) -> Column:
+    """One text for each value, never null: present fields by number, texts with their length, so that no two values share one."""
+    if isinstance(kind, T.StructType):
+        fields = [F.when(c[f.name].isNotNull(), F.concat(F.lit(f"{i}:"), _canonical(c[f.name], f.dataType))) for i, f in enumerate(kind)]
+        return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws("", *fields), F.lit("}"))), F.lit("-"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _canonical(x, kind.elementType)), ","), F.lit("]")), F.lit("-"))
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("-"))
+    return F.coalesce(F.concat(F.lit("="), c.cast("string"), F.lit(";")), F.lit("-"))
 
 
 def _annotated(item: Column, kind: T.StructType) -> Column:
-    """struct<hash, link_id, answers, children> of an item, null if the item is null; a null answer has a null hash."""
-    names = kind.fieldNames()
-    hashed = F.transform(item["answer"], lambda a: F.struct(F.when(a.isNotNull(), _digest(F.to_json(a))).alias("hash"), a.alias("value")))
-    if "item" in names:
+    """struct<hash, link_id, answers, children> of an item, null if the item is null; a null answer has a null hash. Hashes are hexadecimal."""
+    one = kind["answer"].dataType.elementType
+    hashed = F.transform(item["answer"], lambda a: F.struct(F.when(a.isNotNull(), F.md5(_canonical(a, one))).alias("hash"), a.alias("value")))
+    children = None
+    if "item" in kind.fieldNames():
         inner = kind["item"].dataType.elementType
         children = F.transform(item["item"], lambda x: _annotated(x, inner))
-    else:
-        children = None
     mark = lambda hashes: F.coalesce(F.concat(F.lit("["), F.array_join(hashes, ",", "-"), F.lit("]")), F.lit("-"))
 
     def whole(parts: Column) -> Column:
         below = mark(parts["children"]["hash"]) if children is not None else F.lit("-")
         text = F.concat(F.coalesce(F.concat(F.lit("="), item["linkId"]), F.lit("-")), F.lit("\n"), mark(parts["answers"]["hash"]), F.lit("\n"), below)
-        fields = [_digest(text).alias("hash"), item["linkId"].alias("link_id"), parts["answers"].alias("answers")]
+        fields = [F.md5(text).alias("hash"), item["linkId"].alias("link_id"), parts["answers"].alias("answers")]
         return F.when(item.isNotNull(), F.struct(*fields, *([parts["children"].alias("children")] if children is not None else [])))
 
     parts = [hashed.alias("answers")] + ([children.alias("children")] if children is not None else [])
     return _let(F.struct(*parts), whole)
 
 
+def _places(nodes: Column, kind: T.StructType, above: Column | None, parent: Column) -> Column:
+    """All items of a tree as one array of rows, a parent before its children."""
+    deeper = "item" in kind.fieldNames()
+
+    def one(node: Column, n: Column) -> Column:
+        path = n.cast("string") if above is None else F.concat(above, F.lit("."), n.cast("string"))
+        answers = F.transform(node["answers"], lambda a: F.struct(F.unhex(a["hash"]).alias("hash"), a["value"].alias("value")))
+        below = F.transform(node["children"]["hash"], lambda h: F.unhex(h)) if deeper else F.lit(None).cast("array<binary>")
+        row = F.array(F.struct(path.alias("path"), parent.alias("parent_link_id"), F.unhex(node["hash"]).alias("item_hash"), node["link_id"].alias("link_id"), answers.alias("answers"), below.alias("children")))
+        if not deeper:
+            return row
+        rows = _places(node["children"], kind["item"].dataType.elementType, path, F.coalesce(node["link_id"], F.lit("")))
+        return F.concat(row, F.coalesce(rows, F.filter(row, lambda x: F.lit(False))))
+
+    return F.flatten(F.transform(nodes, one))
+
+
 def shred(records: DataFrame, key: str = "rec_no", items: str = "item") -> FlatTables:
     """Flat tables of ``records``; nesting may be as deep as the schema says.
 
-    Null items and answers keep their ordinal but are no objects; absent and empty arrays stay distinct.
-    Identical subtrees are combined before each shuffle and at each level only distinct ones go further down,
-    so a subtree that a third of all records share costs one row a task.
+    Null items and answers keep their ordinal but are no objects; absent and empty arrays stay distinct. Hashing needs
+    no shuffle; the places are stored once, and identical objects are combined before each shuffle, so a subtree that
+    a third of all records share costs one row a task.
     """
     kind = records.schema[items].dataType.elementType
-    tree = stored(records.select(F.col(key).alias("rec_no"), F.transform(items, lambda x: _annotated(x, kind)).alias("tree")), "merkle-tree")
-    heads = tree.select("rec_no", F.when(F.col("tree").isNotNull(), F.size("tree")).alias("n_items"))
-    roots = stored(tree.select("rec_no", F.posexplode("tree").alias("ordinal", "node")).select("rec_no", "ordinal", F.col("node.hash").alias("item_hash")), "merkle-roots")
-    nodes = tree.select(F.explode("tree").alias("node"))
-    found_items, found_answers = [], []
-    while True:
-        level = stored(nodes.where("node is not null").groupBy(F.col("node.hash").alias("item_hash")).agg(F.first("node").alias("node")), "merkle-level")
-        deeper = "children" in level.schema["node"].dataType.fieldNames()
-        children = F.col("node.children.hash") if deeper else F.lit(None).cast("array<string>")
-        found_items.append(level.select("item_hash", F.col("node.link_id").alias("link_id"), F.col("node.answers.hash").alias("answers"), children.alias("children")))
-        found_answers.append(level.select(F.explode("node.answers").alias("a")).where("a.hash is not null").select(F.col("a.hash").alias("answer_hash"), "a.value"))
-        if not deeper:
-            break
-        nodes = level.select(F.explode("node.children").alias("node"))
-    unite = lambda parts: parts[0] if len(parts) == 1 else unite([parts[0].unionByName(parts[1]), *parts[2:]])
-    once = lambda parts, k: stored(unite(parts).groupBy(k).agg(*(F.first(c).alias(c) for c in parts[0].columns if c != k)), "merkle-objects")
-    return FlatTables(heads, roots, once(found_items, "item_hash"), once(found_answers, "answer_hash"))
+    tree = records.select(F.col(key).alias("rec_no"), F.transform(items, lambda x: _annotated(x, kind)).alias("tree"))
+    places = stored(tree.select("rec_no", F.inline(_places(F.col("tree"), kind, None, F.lit("")))), "merkle-places")
+    heads = records.select(F.col(key).alias("rec_no"), F.when(F.col(items).isNotNull(), F.size(items)).alias("n_items"))
+    return FlatTables(heads, places)
 
 
 def answer_values(answers: DataFrame) -> DataFrame:
@@ -112,24 +152,13 @@ def answer_values(answers: DataFrame) -> DataFrame:
 def answer_rows(flat: FlatTables) -> DataFrame:
     """Every occurrence of an answer with a value: rec_no, item_path, answer_no, parent_link_id, link_id, kind, val.
 
-    The distinct root subtrees are unfolded once, level by level, and joined with the roots last; keys
-    that many rows share are spread over tasks in each join.
+    The distinct items get the values of their distinct answers (a broadcast if these are proven to be few, else a
+    spread join) and are joined with their places last; an item that many places share is spread over tasks.
     """
-    at = stored(flat.roots.select(F.col("item_hash").alias("root_hash")).where("item_hash is not null").distinct().withColumn("item_hash", F.col("root_hash")), "merkle-at")
-    at = at.join(flat.items, "item_hash").select("root_hash", F.lit("").alias("path"), F.lit("").alias("parent_link_id"), F.coalesce("link_id", F.lit("")).alias("link_id"), "answers", "children")
-    held = []
-    while True:
-        at = stored(at, "merkle-at")
-        held.append(at.select("root_hash", "path", "parent_link_id", "link_id", F.posexplode("answers").alias("answer_no", "answer_hash")).where("answer_hash is not null"))
-        below = at.select("root_hash", F.col("path").alias("above"), F.col("link_id").alias("parent_link_id"), F.posexplode("children").alias("n", "item_hash")).where("item_hash is not null")
-        below = stored(below, "merkle-below")
-        if below.isEmpty():
-            break
-        at = spread_join(below, flat.items, ["item_hash"], F.col("root_hash")).select("root_hash", F.concat("above", F.lit("."), F.col("n")).alias("path"), "parent_link_id", F.coalesce("link_id", F.lit("")).alias("link_id"), "answers", "children")
-    rows = held[0]
-    for more in held[1:]:
-        rows = rows.unionByName(more)
-    valued = spread_join(stored(rows, "merkle-held"), answer_values(flat.answers), ["answer_hash"], F.col("root_hash"))
-    unfolded = stored(valued.withColumnRenamed("root_hash", "item_hash").drop("answer_hash"), "merkle-unfolded")
-    whole = spread_join(flat.roots.where("item_hash is not null"), unfolded, ["item_hash"], F.col("rec_no"))
-    return whole.select("rec_no", F.concat(F.col("ordinal").cast("string"), F.col("path")).alias("item_path"), F.col("answer_no").cast("bigint").alias("answer_no"), "parent_link_id", "link_id", "kind", "val")
+    values = stored(answer_values(flat.distinct_answers()), "merkle-values")
+    held = flat.distinct_items().select("item_hash", "link_id", F.posexplode("answers").alias("answer_no", "answer_hash")).where("answer_hash is not null")
+    few = values.limit(SMALL + 1).count() <= SMALL
+    valued = held.join(F.broadcast(values), "answer_hash") if few else spread_join(stored(held, "merkle-held"), values, ["answer_hash"], F.col("item_hash"))
+    at = flat.places.where("item_hash is not null and size(answers) > 0").select("rec_no", "path", "parent_link_id", "item_hash")
+    whole = spread_join(at, valued.drop("answer_hash"), ["item_hash"], F.struct("rec_no", "path"))
+    return whole.select("rec_no", F.col("path").alias("item_path"), F.col("answer_no").cast("bigint").alias("answer_no"), "parent_link_id", F.coalesce("link_id", F.lit("")).alias("link_id"), "kind", "val")

@@ -17,9 +17,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys of ``counts`` holding more than ``share`` of ``total`` rows: fewer than 1/share, whatever the data."""
-    return counts.where(F.col(n) > max(floor, int(total * share))).select(*keys)
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: float = HOT_SHARE, floor: int | None = None) -> DataFrame:
+    """Keys of ``counts`` holding more than ``share`` of ``total`` rows: fewer than 1/share, whatever the data.
+
+    They are found at once, so that a plan using them in several places doesn't count again.
+    """
+    least = max(HOT_FLOOR if floor is None else floor, int(total * share))
+    spark, kept = counts.sparkSession, counts.select(*keys)
+    found = counts.where(F.col(n) > least).select(*keys).limit(int(1 / share) + 1).collect() if total > least else []
+    return spark.createDataFrame(found, kept.schema)
 
 
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], hot: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
@@ -35,7 +41,12 @@ def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], hot: DataFr
 
 
 def spread_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: Column) -> DataFrame:
-    """:func:`salted_join` that finds the hot keys of ``rows`` itself; ``rows`` is read twice, so pass a stored table."""
+    """:func:`salted_join` that finds the hot keys of ``rows`` itself; ``rows`` is read twice, so pass a stored table.
+
+    Where no key is hot it is a plain join.
+    """
     total = rows.count()
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__skew_n"))
-    return salted_join(rows, unique, keys, hot_keys(counts, keys, "__skew_n", total), spread)
+    if total <= HOT_FLOOR:
+        return rows.join(unique, keys)
+    hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("__skew_n")), keys, "__skew_n", total)
+    return rows.join(unique, keys) if hot.isEmpty() else salted_join(rows, unique, keys, hot, spread)
