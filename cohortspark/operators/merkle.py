@@ -9,8 +9,13 @@ The tables are an exact inverse of the records.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +26,7 @@ from cohortspark.operators.storage import stored
 
 #: Distinct answers up to which their values are broadcast.
 SMALL = 100_000
+PLACE = ("rec_no", "path", "parent_link_id", "item_hash", "link_id", "answers", "children")
 
 
 @dataclass(frozen=True)
@@ -60,74 +66,103 @@ class FlatTables:
         return parts[0].unionByName(parts[1])
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _hex(c: Column) -> Column:
     return F.lower(F.hex(c))
 
 
-def _canonical(c: Column, kind: T.DataType) -> Column:
+def _joined(*parts: pa.Array | str) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "", null_handling="replace", null_replacement="")
+
+
+def _canonical(values: pa.Array) -> pa.Array:
     """One text for each value, never null: present fields by number, texts with their length, so that no two values share one."""
-    if isinstance(kind, T.StructType):
-        fields = [F.when(c[f.name].isNotNull(), F.concat(F.lit(f"{i}:"), _canonical(c[f.name], f.dataType))) for i, f in enumerate(kind)]
-        return F.coalesce(F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws("", *fields), F.lit("}"))), F.lit("-"))
-    if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _canonical(x, kind.elementType)), ","), F.lit("]")), F.lit("-"))
-    if isinstance(kind, T.StringType):
-        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("-"))
-    return F.coalesce(F.concat(F.lit("="), c.cast("string"), F.lit(";")), F.lit("-"))
-
-
-def _annotated(item: Column, kind: T.StructType) -> Column:
-    """struct<hash, link_id, answers, children> of an item, null if the item is null; a null answer has a null hash. Hashes are hexadecimal."""
-    one = kind["answer"].dataType.elementType
-    hashed = F.transform(item["answer"], lambda a: F.struct(F.when(a.isNotNull(), F.md5(_canonical(a, one))).alias("hash"), a.alias("value")))
-    children = None
-    if "item" in kind.fieldNames():
-        inner = kind["item"].dataType.elementType
-        children = F.transform(item["item"], lambda x: _annotated(x, inner))
-    mark = lambda hashes: F.coalesce(F.concat(F.lit("["), F.array_join(hashes, ",", "-"), F.lit("]")), F.lit("-"))
-
-    def whole(parts: Column) -> Column:
-        below = mark(parts["children"]["hash"]) if children is not None else F.lit("-")
-        text = F.concat(F.coalesce(F.concat(F.lit("="), item["linkId"]), F.lit("-")), F.lit("\n"), mark(parts["answers"]["hash"]), F.lit("\n"), below)
-        fields = [F.md5(text).alias("hash"), item["linkId"].alias("link_id"), parts["answers"].alias("answers")]
-        return F.when(item.isNotNull(), F.struct(*fields, *([parts["children"].alias("children")] if children is not None else [])))
-
-    parts = [hashed.alias("answers")] + ([children.alias("children")] if children is not None else [])
-    return _let(F.struct(*parts), whole)
-
-
-def _places(nodes: Column, kind: T.StructType, above: Column | None, parent: Column) -> Column:
-    """All items of a tree as one array of rows, a parent before its children."""
-    deeper = "item" in kind.fieldNames()
-
-    def one(node: Column, n: Column) -> Column:
-        path = n.cast("string") if above is None else F.concat(above, F.lit("."), n.cast("string"))
-        answers = F.transform(node["answers"], lambda a: F.struct(F.unhex(a["hash"]).alias("hash"), a["value"].alias("value")))
-        below = F.transform(node["children"]["hash"], lambda h: F.unhex(h)) if deeper else F.lit(None).cast("array<binary>")
-        row = F.array(F.struct(path.alias("path"), parent.alias("parent_link_id"), F.unhex(node["hash"]).alias("item_hash"), node["link_id"].alias("link_id"), answers.alias("answers"), below.alias("children")))
-        if not deeper:
-            return row
-        rows = _places(node["children"], kind["item"].dataType.elementType, path, F.coalesce(node["link_id"], F.lit("")))
-        return F.concat(row, F.coalesce(rows, F.filter(row, lambda x: F.lit(False))))
-
-    return F.flatten(F.transform(nodes, one))
+    kind = values.type
+    if pa.types.is_struct(kind):
+        present = []
+        for i, field in enumerate(values.flatten()):
+            if field.null_count < len(field):
+                present.append(pc.if_else(field.is_valid(), _joined(f"{i}:", _canonical(field)), ""))
+        text = _joined("{", *present, "}")
+    elif pa.types.is_list(kind):
+        text = _joined("[", pc.binary_join(_lists(values, _canonical(values.flatten())), ","), "]")
+    elif pa.types.is_string(kind):
+        text = _joined(pc.utf8_length(values).cast(pa.string()), "=", values)
+    else:
+        text = _joined("=", values.cast(pa.string()), ";")
+    return pc.if_else(values.is_valid(), text, "-")
+
+
+def _lists(shape: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """``values`` in lists of the lengths of ``shape``, null where that is null."""
+    lengths = pc.list_value_length(shape)
+    offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lengths.is_null())
+
+
+def _digest(texts: pa.Array, valid: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Hashes as bytes and in hexadecimal, null where not ``valid``; equal texts are hashed once."""
+    coded = texts.dictionary_encode()
+    found = [hashlib.md5(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+    at = pc.if_else(valid, coded.indices, None)
+    return pa.array(found, pa.binary()).take(at), pa.array([d.hex() for d in found], pa.string()).take(at)
+
+
+def _marked(shape: pa.ListArray, hashes: pa.Array) -> pa.Array:
+    """The hashes of each list as one text; a null hash is ``-``, a null list ``-`` without brackets."""
+    held = pc.binary_join(_lists(shape, hashes.fill_null("-")), ",")
+    return pc.if_else(shape.is_valid(), _joined("[", held, "]"), "-")
+
+
+def _place(nodes: pa.StructArray, record: np.ndarray, path: pa.Array, parent: pa.Array, out: list[tuple]) -> tuple[pa.Array, pa.Array]:
+    """Hashes of ``nodes``, children first; their places go to ``out``."""
+    fields = dict(zip((f.name for f in nodes.type), nodes.flatten(), strict=True))
+    link, answers = fields["linkId"], fields["answer"]
+    values = answers.flatten()
+    answer_hash, answer_hex = _digest(_canonical(values), values.is_valid())
+    children, below = pa.nulls(len(nodes), pa.list_(pa.binary())), pa.array(["-"]).take(pa.array(np.zeros(len(nodes), np.int64)))
+    if (items := fields.get("item")) is not None:
+        lengths = pc.list_value_length(items).fill_null(0).to_numpy(zero_copy_only=False)
+        up = np.repeat(np.arange(len(nodes)), lengths)
+        ordinal = np.arange(len(up)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        child_path = _joined(path.take(pa.array(up)), ".", pa.array(ordinal).cast(pa.string()))
+        child_hash, child_hex = _place(items.flatten(), record[up], child_path, link.fill_null("").take(pa.array(up)), out)
+        children, below = _lists(items, child_hash), _marked(items, child_hex)
+    text = _joined(pc.if_else(link.is_valid(), _joined("=", link), "-"), "\n", _marked(answers, answer_hex), "\n", below)
+    whole, in_hex = _digest(text, nodes.is_valid())
+    held = pa.StructArray.from_arrays([answer_hash, values], ["hash", "value"])
+    out.append((record, path, parent, whole, link, _lists(answers, held), children))
+    return whole, in_hex
+
+
+def _shredded(key: str, items: str):
+    """Places of Arrow batches of records (key, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tops = batch.column(key), batch.column(items)
+            lengths = pc.list_value_length(tops).fill_null(0).to_numpy(zero_copy_only=False)
+            record = np.repeat(np.arange(len(keys)), lengths)
+            ordinal = np.arange(len(record)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            out: list[tuple] = []
+            _place(tops.flatten(), record, pa.array(ordinal).cast(pa.string()), pa.array([""]).take(pa.array(np.zeros(len(record), np.int64))), out)
+            for at, *columns in out:
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], list(PLACE))
+
+    return run
 
 
 def shred(records: DataFrame, key: str = "rec_no", items: str = "item") -> FlatTables:
     """Flat tables of ``records``; nesting may be as deep as the schema says.
 
-    Null items and answers keep their ordinal but are no objects; absent and empty arrays stay distinct. Hashing needs
-    no shuffle; the places are stored once, and identical objects are combined before each shuffle, so a subtree that
+    Null items and answers keep their ordinal but are no objects; absent and empty arrays stay distinct. Hashing is
+    done in Arrow batches, all values of a level at once, and needs no shuffle; the places are stored once, and identical objects are combined before each shuffle, so a subtree that
     a third of all records share costs one row a task.
     """
-    kind = records.schema[items].dataType.elementType
-    tree = records.select(F.col(key).alias("rec_no"), F.transform(items, lambda x: _annotated(x, kind)).alias("tree"))
-    places = stored(tree.select("rec_no", F.inline(_places(F.col("tree"), kind, None, F.lit("")))), "merkle-places")
+    value = records.schema[items].dataType.elementType["answer"].dataType.elementType
+    held = T.ArrayType(T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("value", value)]))
+    kinds = [T.StringType(), T.StringType(), T.BinaryType(), T.StringType(), held, T.ArrayType(T.BinaryType())]
+    schema = T.StructType([T.StructField("rec_no", records.schema[key].dataType), *(T.StructField(n, k) for n, k in zip(PLACE[1:], kinds, strict=True))])
+    places = stored(records.select(key, items).mapInArrow(_shredded(key, items), schema), "merkle-places")
     heads = records.select(F.col(key).alias("rec_no"), F.when(F.col(items).isNotNull(), F.size(items)).alias("n_items"))
     return FlatTables(heads, places)
 

@@ -23,9 +23,9 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int, share: floa
     They are found at once, so that a plan using them in several places doesn't count again.
     """
     least = max(HOT_FLOOR if floor is None else floor, int(total * share))
-    spark, kept = counts.sparkSession, counts.select(*keys)
-    found = counts.where(F.col(n) > least).select(*keys).limit(int(1 / share) + 1).collect() if total > least else []
-    return spark.createDataFrame(found, kept.schema)
+    kept = counts.where(F.col(n) > least).select(*keys)
+    found = kept.limit(int(1 / share) + 1).collect() if total > least else []
+    return counts.sparkSession.createDataFrame(found, kept.schema) if found else kept.where(F.lit(False))
 
 
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], hot: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
@@ -43,10 +43,9 @@ def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], hot: DataFr
 def spread_join(rows: DataFrame, unique: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """:func:`salted_join` that finds the hot keys of ``rows`` itself; ``rows`` is read twice, so pass a stored table.
 
-    Where no key is hot it is a plain join.
+    Where no key is hot the salts vanish from the plan but for a constant.
     """
     total = rows.count()
     if total <= HOT_FLOOR:
         return rows.join(unique, keys)
-    hot = hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("__skew_n")), keys, "__skew_n", total)
-    return rows.join(unique, keys) if hot.isEmpty() else salted_join(rows, unique, keys, hot, spread)
+    return salted_join(rows, unique, keys, hot_keys(rows.groupBy(*keys).agg(F.count("*").alias("__skew_n")), keys, "__skew_n", total), spread)
