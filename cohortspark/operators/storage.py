@@ -36,3 +36,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """Small texts and folders of tables below a path, on whatever file system it lies."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._hadoop, self.path = spark._jvm.org.apache.hadoop.fs, path.rstrip("/")
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._hadoop.Path(f"{self.path}/{name}")
+
+    def names(self) -> list[str]:
+        """Names below the path, sorted; none if it doesn't exist."""
+        top = self._hadoop.Path(self.path)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """The text appears under its name as a whole or not at all; FileExistsError if there is such a name."""
+        part = self._at(f".{name}-{uuid.uuid4().hex}")
+        stream = self._fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._fs.exists(self._at(name)) or not self._fs.rename(part, self._at(name)):
+            self._fs.delete(part, False)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)

@@ -52,12 +52,17 @@ def p1_site_zones(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _session_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """session_id with the two hashes of the response's identity; null hashes where it has none."""
+    """session_id with the two hashes of the response's identity; null hashes where it has none.
+
+    Only started_at of sessions without identifier is read. Zones are estimated only where the registry lacks one,
+    as the registry's usable zones stand anyway.
+    """
     s = table(spark, folder, "response_session").select("session_id", "respondent_id", "questionnaire_id", "site_code", "started_at", "fhir_response_id", "created_at")
     sites = _sites(spark, folder)
     s = s.withColumn("bare", bare_identifier(F.col("fhir_response_id")))
     values = s.select("*", F.col("site_code").alias("site"), F.when(F.col("bare").isNull(), F.col("started_at")).alias("value"))
-    _, zones = _moments(spark, folder)
+    clean = sites.where(F.col("time_zone").isNull() | ~F.col("time_zone").isin(*timezones.known_zones())).isEmpty()
+    zones = sites if clean else _moments(spark, folder)[1]
     timed = timezones.to_utc(timezones.parse_values(values, sites), zones.join(sites.select("site"), "site", "left_semi"))
     respondent = F.col("respondent_id").cast("string")
     key = F.when(F.col("bare").isNotNull(), F.concat_ws("|", F.lit("id"), respondent, "bare")).otherwise(

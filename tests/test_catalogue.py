@@ -117,20 +117,20 @@ def test_reports(spark):
     assert report.dictionary(q, o, p).select("valid_values", "placements").first() == ("a | b", "9")
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
     import json
 
     source = tmp_path / "in"
     source.mkdir()
     r = lambda n, i: json.dumps({"rec_no": n, "resourceType": "QuestionnaireResponse", "id": i, "authored": f"2024-01-0{n}T00:00:00Z", "item": [{"linkId": "q", "answer": [{"valueString": "x"}]}]})
     (source / "1.json").write_text("\n".join([r(1, "a"), r(2, "urn:uuid:A"), r(3, None), r(4, None)]))
-    index = None
-    from cohortspark.operators.identifier_index import IdentifierIndex
-    from cohortspark.operators.storage import new_path
-
-    index = IdentifierIndex(spark, new_path(spark, "idx"), prefixes=2)
-    run = lambda: ingest.ingest_atoms(spark, ingest.response_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck"), index).awaitTermination()
+    run = lambda: ingest.ingest_atoms(spark, ingest.response_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    with monkeypatch.context() as m:  # fails after the identifiers were taken
+        m.setattr(ingest, "answer_atoms", lambda rows: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivision|division"):
+            run()
     run()
+    assert sorted(x.rec_no for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 4]
     (source / "2.json").write_text("\n".join([r(5, "A"), r(6, "b")]))
     run()
     assert sorted(x.rec_no for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 4, 6]

@@ -7,7 +7,7 @@ from conftest import rows_of, stamp
 from pyspark.sql import functions as F
 
 from cohortspark.functions.text import bare_identifier
-from cohortspark.operators import merkle, orphans, skew
+from cohortspark.operators import identifier_index, merkle, orphans, skew
 from cohortspark.operators.identifier_index import IdentifierIndex, hashes
 from cohortspark.operators.storage import new_path
 from cohortspark.plans import problem_queries as q
@@ -51,10 +51,35 @@ def test_index_over_batches_and_merges(spark):
             assert (found[h].owner, found[h].n, found[h].first_owner) == (min(mine), len(mine), seen.get(k))
         for i, x in batch:
             seen.setdefault(f"k{x}", i)
+    assert len(index.runs) == 2
+    index.merge()
     assert len(index.runs) == 1
     assert sum(len(r.h1) for r in index.entries().collect()) == len(seen)
 
 
+def test_index_opened_again_and_batch_run_again(spark):
+    at = new_path(spark, "t")
+    batch = lambda *rows: spark.createDataFrame(rows, "owner bigint, k string").select("owner", *hashes(F.col("k")))
+    first_owners = lambda df: {r.owner: r.first_owner for r in df.collect()}
+    assert first_owners(IdentifierIndex(spark, at).absorb(batch((1, "a"), (2, "b")), 0)) == {1: None, 2: None}
+    assert first_owners(IdentifierIndex(spark, at).absorb(batch((3, "a"), (4, "c")), 1)) == {3: 1, 4: None}
+    assert first_owners(IdentifierIndex(spark, at).absorb(batch((3, "a"), (4, "c")), 1)) == {3: 1, 4: None}
+    index = IdentifierIndex(spark, at, fan_in=1)
+    assert first_owners(index.absorb(batch((5, "c"), (6, "b"), (7, "d")), 2)) == {5: 4, 6: 2, 7: None}
+    assert [r["batch"] for r in index.runs] == [1, 2] and sum(r["n"] for r in index.runs) == 4
+    assert len([n for n in index._folder.names() if n.startswith("run-")]) == 2
+
+
+def test_index_gets_more_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(identifier_index, "ARRAY", 5)
+    index = IdentifierIndex(spark, new_path(spark, "t"), prefixes=2, fan_in=1)
+    rows = lambda n: spark.range(n * 100, n * 100 + 150).select(F.col("id").alias("owner"), *hashes(F.col("id").cast("string")))
+    for n in range(4):
+        found = index.absorb(rows(n))
+        assert found.where("first_owner is not null").count() == (50 if n else 0)
+    assert index.prefixes >= 64 and index.entries().agg(F.max(F.size("h1"))).first()[0] < 60
+
+
 def test_one_identifier_holds_a_third(spark, study, monkeypatch):
     monkeypatch.setattr(skew, "HOT_FLOOR", 10)
     rows = [{"session_id": i, "respondent_id": 1, "questionnaire_id": 1, "fhir_response_id": "hot" if i % 3 == 0 else f"r{i}"} for i in range(1, 301)]
