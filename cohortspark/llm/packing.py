@@ -169,8 +169,9 @@ def packed(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The plan is bounded by the capacity: fewer than three groups for each size.
     """
     spark = sizes.sparkSession
+    sizes = stored(sizes.where("n_tokens > 0").select("doc_id", "n_tokens"), "token-counts")  # the range sort reads them twice
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.lit(capacity).cast("bigint"))).alias("token_start")
-    pieces = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", start).select("doc_id", (F.col("token_start") / capacity).cast("int").alias("piece_no"), "token_start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("token_start")).cast("int").alias("n_tokens"))
+    pieces = sizes.select("doc_id", "n_tokens", start).select("doc_id", (F.col("token_start") / capacity).cast("int").alias("piece_no"), "token_start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("token_start")).cast("int").alias("n_tokens"))
     order = ["n_tokens", "doc_id", "piece_no"]
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranked = stored(pieces.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), within.alias("within")), "pieces")
