@@ -16,11 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Columns that identify persons, and functions that combine rows.
+# Columns that identify persons, functions that combine rows (by their class), and names of counts.
 BLOCKED = ("respondent_id", "session_id", "external_id", "subject_id", "interviewer_id")
-AGGREGATES = "count sum avg mean min max stddev stddev_samp stddev_pop variance var_samp var_pop median percentile percentile_cont percentile_disc approx_count_distinct approx_percentile any_value count_if bool_or bool_and mode kurtosis skewness bit_and bit_or every some".split()
+AGGREGATES = """Count CountIf Sum Average Min Max StddevSamp StddevPop VarianceSamp VariancePop Median Percentile PercentileCont PercentileDisc ApproximatePercentile
+HyperLogLogPlusPlus First AnyValue BoolOr BoolAnd Mode Kurtosis Skewness BitAndAgg BitOrAgg ListAgg CollectList CollectSet HistogramNumeric""".split()
+COUNT_NAMES = {"n", "count", "cnt", "freq", "frequency", "total"}
+COUNT_STARTS, COUNT_ENDS = ("n_", "num_"), ("_count", "_n", "_num", "_freq")
 SCALARS_REFUSED = ("reflect", "java_method", "try_reflect", "input_file_name", "read_files")
-COUNT_NAME = re.compile(r"^(n|count|cnt|freq|frequency|total|n_.*|.*_count|.*_n|num_.*|.*_num|.*_freq)$", re.I)
+#: Expressions that put several columns into one value, by which an aggregate would release whole rows.
+COMPOSING = ("CreateNamedStruct", "CreateArray", "CreateMap", "StructsToJson", "StructsToCsv", "StructsToXml", "Concat", "ConcatWs")
+HIDDEN = "__rows_of_group"
+
+
+def names_count(name: str) -> bool:
+    """Whether a column's name says that it holds a count; a prefix or suffix alone doesn't."""
+    n = name.lower()
+    return n in COUNT_NAMES or any(n.startswith(p) and n != p for p in COUNT_STARTS) or any(n.endswith(x) and n != x for x in COUNT_ENDS)
 
 
 @dataclass(frozen=True)
@@ -140,24 +151,67 @@ def _names(ident: int, name: str, made: dict[int, set]) -> set[str]:
     return found
 
 
+def _outside_counts(e, within: bool = False):
+    """Expressions that aren't counted only, each with whether it lies within an aggregate."""
+    if _kind(e) in ("Count", "HyperLogLogPlusPlus"):
+        return
+    yield e, within
+    for child in _list(e.children()):
+        yield from _outside_counts(child, within or _kind(e) == "AggregateExpression")
+
+
 def _identifying_output(plan) -> str | None:
-    """Name of an identifying column, under whatever alias, that an aggregate takes the least, greatest or any value of, or groups by."""
+    """Why the result would release single persons' values, or None.
+
+    An identifying column, under whatever alias, may only be counted. Each aggregate is judged by itself: only those
+    of AGGREGATES may combine rows, and no value they combine may be made of several columns.
+    """
     made = _origins(plan)
     for node in _nodes(plan):
         if _kind(node) != "Aggregate":
             continue
         for top in [*_list(node.aggregateExpressions()), *_list(node.groupingExpressions())]:
-            parts = list(_walk(top, lambda x: _list(x.children())))
-            if any(_kind(e) in ("Count", "HyperLogLogPlusPlus") for e in parts):
-                continue
-            for e in parts:
+            for e in _walk(top, lambda x: _list(x.children())):
+                if _kind(e) == "AggregateExpression" and (f := _kind(e.aggregateFunction())) not in AGGREGATES:
+                    return f"{f}, which isn't an allowed aggregate"
+            for e, within in _outside_counts(top):
                 if _kind(e) == "AttributeReference" and (hit := _names(e.exprId().id(), e.name().lower(), made) & set(BLOCKED)):
                     return min(hit)
+                if within and _kind(e) in COMPOSING:
+                    return "several columns in one"
     return None
 
 
-def count_columns(df: DataFrame, sql: str) -> list[str]:
-    """Columns holding counts: by name, or made by COUNT or SUM, if they are whole, non-negative numbers in all rows."""
+def with_hidden_counts(sql: str) -> str:
+    """``sql`` with the number of rows of each group as last column of every outermost SELECT.
+
+    DISTINCT, INTERSECT and EXCEPT in the outermost query raise ValueError, as another column would change what they do.
+    """
+    words, depth, i = [], 0, 0
+    pattern = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|[()]|\w+", re.S)
+    for m in pattern.finditer(sql):
+        t = m.group()
+        depth += (t == "(") - (t == ")")
+        if depth == 0 and re.match(r"[a-z]", t, re.I):
+            words.append((t.lower(), m.start(), m.end()))
+    if any(w in ("distinct", "intersect", "except", "minus") for w, *_ in words):
+        raise ValueError("DISTINCT, INTERSECT and EXCEPT can't be released")
+    ends = {"from", "where", "group", "having", "order", "limit", "union", "offset"}
+    places = []
+    for k, (w, _, after) in enumerate(words):
+        if w == "select":
+            later = [start for v, start, _ in words[k + 1 :] if v in ends]
+            places.append(later[0] if later else len(sql))
+    out = sql
+    for at in sorted(places, reverse=True):
+        out = f"{out[:at]}, count(*) AS {HIDDEN} {out[at:]}"
+    if not places:
+        raise ValueError("the outermost SELECT can't be found")
+    return out
+
+
+def count_columns(df: DataFrame, held: DataFrame) -> list[str]:
+    """Columns holding counts: by name, or made by COUNT or SUM, if they are whole, non-negative numbers in all rows of ``held``, the stored result of ``df``."""
     analyzed = df._jdf.queryExecution().analyzed()
     forced: set[str] = set()
     for node in _nodes(analyzed):
@@ -165,11 +219,11 @@ def count_columns(df: DataFrame, sql: str) -> list[str]:
             for top in _list(node.aggregateExpressions()):
                 if any(_kind(e) in ("Count", "Sum") for e in _walk(top, lambda x: _list(x.children()))):
                     forced.add(top.name())
-    named = [f.name for f in df.schema if (COUNT_NAME.match(f.name) or f.name in forced or re.match(r"(?i)^(count|sum)\(", f.name)) and isinstance(f.dataType, T.NumericType)]
+    named = [f.name for f in held.schema if (names_count(f.name) or f.name in forced or f.name.lower().startswith(("count(", "sum("))) and isinstance(f.dataType, T.NumericType)]
     if not named:
         return []
     c = lambda n: F.col(f"`{n}`")
-    odd = df.agg(*(F.count_if((c(n) < 0) | (c(n) != F.floor(c(n).cast("double")))).alias(f"o{i}") for i, n in enumerate(named))).first()
+    odd = held.agg(*(F.count_if((c(n) < 0) | (c(n) != F.floor(c(n).cast("double")))).alias(f"o{i}") for i, n in enumerate(named))).first()
     return [n for i, n in enumerate(named) if odd[i] == 0]
 
 
@@ -190,14 +244,21 @@ def risk_of(visible: int) -> str:
 
 
 def run_federated(spark: SparkSession, sql: str, min_cell: int = 5) -> Released:
-    """Checks, runs and suppresses; the result is stored once, so that counting and releasing see the same rows."""
+    """Checks, runs and suppresses. The result is stored once, so that counting and releasing see the same rows.
+
+    A row is held back if any of its counts, or the number of rows behind it, shown or not, is below ``min_cell``.
+    """
     from cohortspark.operators.storage import stored
 
+    text = sql.strip().rstrip(";").strip()
     df = check(spark, sql)
-    clean = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    counts = count_columns(df, sql)
-    held = stored(clean, "federated").toDF(*df.columns)
-    kept = suppress(held, counts, min_cell)
+    counted = spark.sql(with_hidden_counts(text))
+    if counted.columns[:-1] != df.columns:
+        raise ValueError("the query can't be inspected")
+    held = stored(counted.toDF(*(f"c{i}" for i in range(len(df.columns))), HIDDEN), "federated")
+    shown = held.drop(HIDDEN).toDF(*df.columns)
+    counts = count_columns(df, shown)
+    kept = suppress(held.where(F.col(HIDDEN) >= min_cell).drop(HIDDEN).toDF(*df.columns), counts, min_cell)
     total, visible = held.count(), kept.count()
-    digest = hashlib.sha256(sql.strip().rstrip(";").strip().encode()).hexdigest()[:16]
+    digest = hashlib.sha256(text.encode()).hexdigest()[:16]
     return Released(kept, counts, total - visible, risk_of(visible), digest)

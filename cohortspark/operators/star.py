@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.semantics import day_of_week, half_even_int, iso_date, iso_timestamp, plain_number, seconds_between
+from cohortspark.operators.skew import broadcast_if_small, spread_join
 
 CHOICES = ("single_choice", "multiple_choice", "sata_other", "likert", "ranked")
 
@@ -47,7 +48,7 @@ def dim_respondent(respondent: DataFrame) -> DataFrame:
 
 def dim_session(session: DataFrame, respondent: DataFrame, after: int = 0) -> DataFrame:
     """Sessions beyond the watermark whose respondent exists; unreadable times are null, the duration is rounded half to even."""
-    s = session.where(F.col("session_id") > after).join(respondent.select("respondent_id", F.col("study_id").alias("_study")), "respondent_id")
+    s = spread_join(session.where(F.col("session_id") > after), respondent.select("respondent_id", F.col("study_id").alias("_study")), ["respondent_id"], F.col("session_id"))
     started, completed = iso_timestamp(F.col("started_at")), iso_timestamp(F.col("completed_at"))
     s = s.withColumn("started_at", started).withColumn("completed_at", completed)
     return s.select(
@@ -68,7 +69,7 @@ def dim_session(session: DataFrame, respondent: DataFrame, after: int = 0) -> Da
 def fact_response(response: DataFrame, session: DataFrame, placement: DataFrame, question: DataFrame, respondent: DataFrame, option: DataFrame, after: int = 0) -> DataFrame:
     """One row for each answer beyond the watermark, with its session, placement, question, respondent and option looked up.
 
-    An answer without any of the first four is left out. The numeric value is the answer's own, else for choices the
+    An answer without any of the first four is left out; a respondent with many sessions is spread over tasks. The numeric value is the answer's own, else for choices the
     option's value as a number; boolean questions get a typed value from ``true`` and ``false``.
     """
     own = ["response_id", "session_id", "qq_id", "option_id", "grid_row_id", "grid_column_id", "repeat_index", "response_text", "response_numeric", "response_date"]
@@ -78,7 +79,14 @@ def fact_response(response: DataFrame, session: DataFrame, placement: DataFrame,
     q = question.select("question_id", "question_type", F.col("concept_id").alias("question_concept_id"))
     who = respondent.select("respondent_id", F.coalesce("study_id", F.lit(-1)).alias("study_id"))
     o = option.select("option_id", "option_value", F.col("concept_id").alias("option_concept_id"))
-    j = r.join(s, "session_id").join(p, "qq_id").join(q, "question_id").join(who, "respondent_id").join(o, "option_id", "left")
+    # the respondent is looked up by session, so the answers themselves are only shuffled by session; definitions are few
+    s = spread_join(s, who, ["respondent_id"], F.col("session_id"))
+    j = r.join(s, "session_id").join(broadcast_if_small(p), "qq_id").join(broadcast_if_small(q), "question_id")
+    small = broadcast_if_small(o)
+    if small is o:  # answers without an option go their own way, so that they don't meet in one task
+        j = j.where("option_id is not null").join(o, "option_id", "left").unionByName(j.where("option_id is null"), allowMissingColumns=True)
+    else:
+        j = j.join(small, "option_id", "left")
     number = F.when(F.col("response_numeric").isNotNull(), F.col("response_numeric")).when(F.col("question_type").isin(*CHOICES), plain_number(F.col("option_value")))
     yes_no = F.when(F.col("question_type") == "boolean", F.when(F.col("response_text") == "true", True).when(F.col("response_text") == "false", False))
     started, completed = iso_timestamp(F.col("started_at")), iso_timestamp(F.col("completed_at"))
@@ -110,7 +118,9 @@ def cast_failures(tables: dict[str, tuple[DataFrame, str, dict[str, str]]], exis
             read = iso_date(F.col(column)) if kind == "date" else iso_timestamp(F.col(column))
             parts.append(rows.where(F.col(column).isNotNull() & read.isNull()).select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), F.col(key).cast("bigint").alias("row_id"), F.col(column).cast("string").alias("value")))
     found = reduce(DataFrame.unionByName, parts).distinct()
-    return found if existing is None else found.join(existing.select(*found.columns), found.columns, "left_anti")
+    if existing is None:
+        return found
+    return found.join(existing, reduce(lambda a, b: a & b, (found[c].eqNullSafe(existing[c]) for c in found.columns)), "left_anti")
 
 
 def question_distribution(facts: DataFrame) -> DataFrame:
@@ -192,3 +202,17 @@ def omop_unmapped(facts: DataFrame, questions: DataFrame) -> DataFrame:
     """Placed questions without a concept and how often they were answered, 0 for never."""
     n = facts.groupBy("question_id").agg(F.count("response_id").alias("response_count"))
     return questions.where("concept_id is null").join(n, "question_id", "left").select("question_id", "link_id", "question_text", F.coalesce("response_count", F.lit(0)).alias("response_count"))
+
+
+def dim_question_lineage(lineage: DataFrame) -> DataFrame:
+    """The lineage of questions with a real date; texts that are no full dates become null."""
+    return lineage.withColumn("effective_date", iso_date(F.col("effective_date")))
+
+
+def dim_question_equivalence(equivalence: DataFrame) -> DataFrame:
+    """Declared equivalences, with the group of each question that is in one (see equivalence.grouping_edges)."""
+    from cohortspark.operators import equivalence as eq
+    from cohortspark.operators import graphs
+
+    groups = graphs.equivalence_groups(eq.grouping_edges(equivalence))
+    return equivalence.join(groups.select(F.col("node").alias("question_id_1"), "group_id"), "question_id_1", "left")

@@ -340,8 +340,9 @@ def equivalence_groups(spark, folder):
 
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT concept_id_1 AS child, concept_id_2 AS parent FROM concept_relationship WHERE relationship_id = 'Is a' AND concept_id_2 IS NOT NULL AND concept_id_1 <> concept_id_2),
-     w AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT w.node, e.parent, w.depth + 1 FROM w JOIN e ON w.ancestor = e.child WHERE w.depth < 30)
-SELECT node, ancestor, MIN(depth) AS depth FROM w WHERE node <> ancestor GROUP BY 1, 2""")
+     w(node, ancestor, depth) USING KEY (node, ancestor) AS (SELECT child, parent, 1 FROM e
+        UNION SELECT w.node, e.parent, w.depth + 1 FROM w JOIN e ON w.ancestor = e.child LEFT JOIN recurring.w k ON k.node = w.node AND k.ancestor = e.parent WHERE k.node IS NULL AND w.node <> e.parent)
+SELECT node, ancestor, depth FROM w""")
 def concept_ancestors(spark, folder):
     e = table(spark, folder, "concept_relationship").where("relationship_id = 'Is a'")
     return graphs.ancestors(e.select(F.col("concept_id_1").alias("child"), F.col("concept_id_2").alias("parent")))

@@ -4,28 +4,40 @@ from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ANSWER = "valueCoding:struct<system:string,code:string,display:string>,valueBoolean:boolean,valueDecimal:double,valueInteger:bigint,valueDate:string,valueDateTime:string,valueString:string,extension:array<struct<url:string,valueDecimal:double>>"
 
 
-def _items(depth: int) -> str:
-    below = f",item:{_items(depth - 1)}" if depth > 1 else ""
+def _items(depth: int, probe: bool = False) -> str:
+    below = f",item:{_items(depth - 1, probe)}" if depth > 1 else ",item:string" if probe else ""
     return f"array<struct<linkId:string,answer:array<struct<{_ANSWER}>>{below}>>"
 
 
-def response_schema(depth: int = 3) -> str:
-    """Schema of a questionnaire response with items nested ``depth`` deep."""
-    return f"resourceType string, id string, status string, questionnaire string, authored string, subject struct<reference:string>, item {_items(depth)}"
+def response_schema(depth: int = 3, probe: bool = False) -> str:
+    """Schema of a questionnaire response with items nested ``depth`` deep; with ``probe`` what lies deeper is read as text."""
+    return f"resourceType string, id string, status string, questionnaire string, authored string, subject struct<reference:string>, item {_items(depth, probe)}"
 
 
-def read_responses(spark: SparkSession, path: str, depth: int = 3, lines: bool = False) -> DataFrame:
+def _deeper(items: Column, depth: int) -> Column:
+    """Whether any item at ``depth`` has items of its own, read as text."""
+    return F.exists(items, lambda x: x["item"].isNotNull() if depth == 1 else F.coalesce(_deeper(x["item"], depth - 1), F.lit(False)))
+
+
+def read_responses(spark: SparkSession, path: str, depth: int | None = None, lines: bool = False) -> DataFrame:
     """Questionnaire responses from JSON files holding one object or an array each, or one object a line (``lines``), which alone can be split.
 
-    Other resource types are left out; unreadable text gives no row.
+    Items are read as deep as they are nested, found by a pass over the files; a given ``depth`` that is too small
+    raises ValueError. Other resource types are left out; unreadable text gives no row.
     """
-    df = spark.read.schema(response_schema(depth)).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
-    return df.where("resourceType = 'QuestionnaireResponse'")
+    read = lambda d, probe: spark.read.schema(response_schema(d, probe)).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
+    level = depth or 3
+    while not read(level, True).where(_deeper(F.col("item"), level)).isEmpty():
+        if depth:
+            raise ValueError(f"items are nested more than {depth} deep")
+        level += 2
+    return read(level, False).where("resourceType = 'QuestionnaireResponse'")
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, rows: int = 50_000) -> DataFrame:

@@ -145,6 +145,36 @@ def test_site_merge(spark):
         site_merge.merge_sites([site(spark, 1), site(spark, 2, "other")])
 
 
+def test_merge_of_definitions(spark):
+    def one(n):
+        f = lambda schema, *rows: spark.createDataFrame(rows, schema)
+        return {
+            "question": f("question_id int, link_id string, question_text string", (n, "a", "A"), (n + 1, "b", "B")),
+            "response_option": f("option_id int, question_id int, option_value string", (n * 10, n, "x"), (n * 10 + 1, n + 1, f"only{n}")),
+            "questionnaire": f("questionnaire_id int, canonical_url string, version string", (n + 5, None, "1")),
+            "questionnaire_question": f("qq_id int, questionnaire_id int, question_id int, parent_qq_id int", (n + 7, n + 5, n, None), (n + 8, n + 5, n + 1, n + 7)),
+            "skip_rule": f("rule_id int, qq_id int, trigger_qq_id int", (1, n + 8, n + 7)),
+            "scoring_rule": f("rule_id int, questionnaire_id int, name string", (n + 2, n + 5, "sum"), (n + 3, n + 5, f"own{n}")),
+            "scoring_rule_item": f("rule_id int, question_id int, weight double", (n + 2, n, 1.0), (n + 3, n + 1, 2.0)),
+            "respondent": f("respondent_id int, study_id int, external_id string", (n, None, f"p{n}")),
+            "response_session": f("session_id int, respondent_id int, questionnaire_id int, started_at string, fhir_response_id string", (n, n, n + 5, "t", None)),
+            "response": f("response_id int, session_id int, qq_id int, option_id int", (1, n, n + 7, n * 10), (2, n, n + 8, n * 10 + 1)),
+            "question_equivalence": f("question_id_1 int, question_id_2 int, relationship string", (n, n + 1, "equivalent")),
+        }
+
+    got = site_merge.merge_sites([one(1), one(20)])
+    n = {k: v.count() for k, v in got.items()}
+    assert (n["question"], n["response_option"], n["questionnaire"], n["questionnaire_question"], n["skip_rule"], n["scoring_rule"], n["scoring_rule_item"]) == (2, 3, 1, 2, 1, 3, 3)
+    assert (n["respondent"], n["response_session"], n["response"], n["question_equivalence"], n["duplicate_sessions"]) == (2, 2, 4, 1, 0)
+    options = {r.option_id: r.option_value for r in got["response_option"].collect()}
+    links = {r.question_id: r.link_id for r in got["question"].collect()}
+    placed = {r.qq_id: (links[r.question_id], r.parent_qq_id) for r in got["questionnaire_question"].collect()}
+    (top,) = [k for k, v in placed.items() if v == ("a", None)]
+    assert [v for v in placed.values() if v != ("a", None)] == [("b", top)]
+    assert sorted((placed[r.qq_id][0], options[r.option_id]) for r in got["response"].collect()) == [("a", "x"), ("a", "x"), ("b", "only1"), ("b", "only20")]
+    assert len({r.response_id for r in got["response"].collect()}) == 4
+
+
 def test_erasure_and_copy(spark):
     s = site(spark, 1)
     left = site_merge.erase_respondent(s, 1)
@@ -170,6 +200,7 @@ def answers(spark):
         "garbage", "INSERT INTO answers VALUES (1)", "DROP TABLE answers", "SELECT COUNT(*) OVER (PARTITION BY x) AS n FROM answers", "SELECT COUNT(*) FROM parquet.`/tmp/x`",
         "SELECT COUNT(*) AS n FROM answers UNION ALL SELECT x FROM answers", "SELECT reflect('java.lang.System', 'exit', 0), COUNT(*) FROM answers", "SELECT COUNT(*) FROM read_files('/x')",
         "WITH c AS (SELECT * FROM answers) SELECT x, option_value FROM c", "SELECT MAX(q) AS m, COUNT(*) AS n FROM (SELECT * FROM answers) t(q, b, c, d)",
+        "SELECT concat(count(*), ' ', max(to_json(struct(*)))) AS x FROM answers", "SELECT option_value, COUNT(*) AS n, MAX(struct(x, option_value)) AS m FROM answers GROUP BY 1", "SELECT MAX_BY(option_value, x) AS m, COUNT(*) AS n FROM answers",
     ],
 )
 def test_gate_refuses(spark, answers, sql):
@@ -190,6 +221,13 @@ def test_suppression(spark, answers):
     assert unnamed.rows.count() == 1
     visible = [disclosure.run_federated(spark, "SELECT option_value, COUNT(*) AS n FROM answers GROUP BY option_value", k).rows.count() for k in (1, 4, 5, 37)]
     assert visible == sorted(visible, reverse=True)
+    hidden = disclosure.run_federated(spark, "SELECT x AS g, count(*) + 0.5 AS k, max(option_value) AS m FROM answers GROUP BY 1 -- from", 5)
+    assert hidden.rows.count() == 0 and hidden.suppressed == 40
+    both = disclosure.run_federated(spark, "WITH c AS (SELECT option_value AS o, x FROM answers) SELECT o, AVG(x) AS m FROM c GROUP BY o UNION ALL SELECT 'all', AVG(x) FROM c", 5)
+    assert sorted(r.o for r in both.rows.collect()) == ["a", "all"]
+    with pytest.raises(ValueError):
+        disclosure.run_federated(spark, "SELECT DISTINCT option_value, COUNT(*) AS n FROM answers GROUP BY 1")
+    assert [disclosure.names_count(n) for n in ("n", "N_x", "n_", "x_n", "total", "totals", "num_x", "freq")] == [True, True, False, True, True, False, True, True]
     null = spark.createDataFrame([("x", None), ("y", 2)], "o string, n int")
     assert rows_of(disclosure.suppress(null, ["n"], 5)) == [("x", None)]
     assert [disclosure.risk_of(n) for n in (0, 2, 3, 4, 5)] == ["high", "high", "medium", "medium", "low"]
