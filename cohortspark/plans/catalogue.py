@@ -616,3 +616,6 @@ def wide_fhir_profile(spark, folder):
 
 QUERIES["wide_fhir_profile"] = wide_fhir_profile
 SQL["wide_fhir_profile"] = " UNION ALL ".join(f"SELECT COUNT(*) AS total, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_null FROM gout_checkin_fhir_responses" for c in ("resourceType", "id", "status", "questionnaire", "authored", "subject", "item"))
+
+
+from cohortspark.plans import study_questions  # noqa: E402, F401  (registers its queries here)
