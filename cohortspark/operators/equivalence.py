@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cohortspark.operators.upsert import add_rows
 
 # Relationships and degrees of confidence.
-RELATIONSHIPS = ("equivalent", "near_equivalent", "broader", "narrower")
+RELATIONSHIPS = ("equivalent", "near_equivalent", "related", "supersedes")
 CONFIDENCE = ("high", "medium", "low")
+# Changes that make a question the child of another.
+CHANGES = ("reword", "option_added", "option_removed", "option_reworded", "split", "merge", "other")
 #: Relationships that put two questions into one group.
 GROUPING = ("equivalent", "near_equivalent")
 
@@ -26,6 +28,17 @@ def declare(table: DataFrame, pairs: DataFrame) -> DataFrame:
     return add_rows(table, pairs.unionByName(back), ["question_id_1", "question_id_2", "relationship"])
 
 
+def record_lineage(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` (question_id, parent_question_id, change_type, effective_date) with ``rows``; those that it has stay as they are.
+
+    An unknown change, a null end or a question that is its own parent raises ValueError.
+    """
+    odd = rows.where(~F.coalesce(F.col("change_type").isin(*CHANGES), F.lit(False)) | F.col("question_id").isNull() | F.col("parent_question_id").isNull() | (F.col("question_id") == F.col("parent_question_id")))
+    if not odd.isEmpty():
+        raise ValueError("unknown change, or not two questions")
+    return add_rows(table, rows, ["question_id", "parent_question_id", "change_type"])
+
+
 def neighbours(table: DataFrame, question_id: int, questions: DataFrame) -> DataFrame:
     """Direct equivalents of a question with their link_id, medium, low and high confidence in this order of words, then by link_id."""
     near = table.where(F.col("question_id_1") == question_id).select(F.col("question_id_2").alias("question_id"), "relationship", "confidence")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +14,27 @@ from cohortspark.operators.storage import stored
 
 #: Levels of ancestors after which their tables are merged into one, so that plans stay small on long chains.
 MERGED_LEVELS = 20
+#: A graph of at most so many distinct edges is solved in one task.
+SMALL = 200_000
 
 
-def components(edges: DataFrame, label: str = "min", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "min", rounds: int = 60, small: int = SMALL) -> DataFrame:
     """node, component of an undirected graph (src, dst); the component's id is its least (``min``) or greatest (``max``) node.
 
     Large stars and small stars alternate: each round links every node's greater neighbours to its least neighbour, which
     takes a logarithmic number of rounds also on long chains. Each round is stored, so lineage stays short. Null ends and
     loops are dropped; a node without edges doesn't occur. Neighbour lists are never gathered: the least neighbour
-    comes from partial aggregation, and a node with a large share of all edges is spread over tasks in the joins.
+    comes from partial aggregation, and a node with a large share of all edges is spread over tasks in the joins. A graph
+    of at most ``small`` distinct edges, which are counted, is solved in one task instead of many rounds.
     """
     sign = 1 if label == "min" else -1
     e = edges.select((F.col("src") * sign).alias("a"), (F.col("dst") * sign).alias("b")).where("a is not null and b is not null and a <> b")
     current = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before, total = None, 2 * current.count()
+    n = current.count()
+    if n <= small:
+        solved = current.coalesce(1).mapInPandas(_solved, "node bigint, component bigint")
+        return solved.select((F.col("node") * sign).alias("node"), (F.col("component") * sign).alias("component"))
+    before, total = None, 2 * n
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
@@ -42,6 +53,28 @@ def components(edges: DataFrame, label: str = "min", rounds: int = 60) -> DataFr
     return nodes.join(found, nodes.node == found.a, "left").select((F.col("node") * sign).alias("node"), (F.coalesce("m", "node") * sign).alias("component"))
 
 
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a small graph (a, b): labels fall to the least of each edge's ends, then each to its label's label."""
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    edges = pd.concat(held)
+    nodes, at = np.unique(edges[["a", "b"]].to_numpy(np.int64).T.ravel(), return_inverse=True)
+    a, b = at[: len(edges)], at[len(edges) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, label[end], least)
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
 def equivalence_groups(edges: DataFrame) -> DataFrame:
     """node, group_id: components numbered 1, 2, ... by ascending greatest member."""
     from cohortspark.operators.upsert import numbered

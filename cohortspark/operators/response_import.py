@@ -28,8 +28,8 @@ def import_responses(responses: DataFrame, study: dict[str, DataFrame]) -> Impor
 
     ``study``: questionnaire (questionnaire_id, canonical_url), questionnaire_question (qq_id, questionnaire_id,
     question_id), question (question_id, link_id, question_type, numeric_min, numeric_max), response_option (option_id,
-    question_id, option_value, and concept_code if known), grid_row (grid_row_id, question_id, display_order), grid_column
-    (grid_column_id, question_id, option_value). Answers to unknown questions are skipped. An answer of a kind that
+    question_id, option_value, and concept_code if known), grid_row (row_id, question_id, display_order), grid_column
+    (column_id, question_id, column_value). Answers to unknown questions are skipped. An answer of a kind that
     its question doesn't take gives a flag of severity ``error`` and no row; a number out of range a row and a
     ``warning``; a grid cell whose row or column is unknown an ``error`` and no row; an unknown code a row without option.
     A response without status is complete; only complete ones have completed_at. Of several options with a code the
@@ -59,8 +59,8 @@ def import_responses(responses: DataFrame, study: dict[str, DataFrame]) -> Impor
     options = study["response_option"]
     codes = F.array("option_value", "concept_code") if "concept_code" in options.columns else F.array("option_value")
     by_code = options.select("question_id", "option_id", F.explode(codes).alias("code")).where("code is not null").groupBy("question_id", "code").agg(F.min("option_id").alias("option_id"))
-    rows = study["grid_row"].groupBy("question_id", F.col("display_order").alias("grid_row")).agg(F.min("grid_row_id").alias("grid_row_id"))
-    columns = study["grid_column"].groupBy("question_id", F.col("option_value").alias("code")).agg(F.min("grid_column_id").alias("grid_column_id"))
+    rows = study["grid_row"].groupBy("question_id", F.col("display_order").alias("grid_row")).agg(F.min("row_id").alias("grid_row_id"))
+    columns = study["grid_column"].groupBy("question_id", F.col("column_value").alias("code")).agg(F.min("column_id").alias("grid_column_id"))
     full = checked.join(small(by_code), ["question_id", "code"], "left").join(small(rows), ["question_id", "grid_row"], "left").join(small(columns), ["question_id", "code"], "left")
     no_cell = F.col("in_grid").isNotNull() & (F.col("grid_row_id").isNull() | F.col("grid_column_id").isNull())
     full = full.withColumn("rule", F.when(F.col("flag") == "type", "type").when(no_cell, "grid").when(F.col("flag") == "range", "range"))

@@ -37,24 +37,24 @@ STEPS = (
     Step("response_option_set", "option_set_id", ("name",)),
     Step("question", "question_id", ("link_id",), {"concept_id": _C}),
     Step("response_option", "option_id", ("question_id", "option_value"), {"question_id": _Q, "concept_id": _C, "option_set_id": "response_option_set"}),
-    Step("grid_row", "grid_row_id", ("question_id", "display_order"), {"question_id": _Q}),
-    Step("grid_column", "grid_column_id", ("question_id", "display_order"), {"question_id": _Q}),
+    Step("grid_row", "row_id", ("question_id", "display_order"), {"question_id": _Q, "concept_id": _C}),
+    Step("grid_column", "column_id", ("question_id", "display_order"), {"question_id": _Q, "concept_id": _C}),
     Step("questionnaire", "questionnaire_id", ("canonical_url", "version"), {"study_id": "study"}),
     Step("section", "section_id", ("questionnaire_id", "display_order"), {"questionnaire_id": "questionnaire"}),
-    Step("questionnaire_question", "qq_id", ("questionnaire_id", "question_id"), {"questionnaire_id": "questionnaire", "question_id": _Q, "section_id": "section"}, later=("parent_qq_id", "count_from_qq_id")),
+    Step("questionnaire_question", "qq_id", ("questionnaire_id", "question_id"), {"questionnaire_id": "questionnaire", "question_id": _Q, "section_id": "section"}, later=("parent_qq_id", "count_qq_id")),
     Step("skip_rule", "rule_id", (), {"qq_id": "questionnaire_question", "trigger_qq_id": "questionnaire_question"}, within="qq_id"),
-    Step("scoring_rule", "rule_id", ("questionnaire_id", "name"), {"questionnaire_id": "questionnaire"}),
-    Step("scoring_rule_item", None, (), {"rule_id": "scoring_rule", "qq_id": "questionnaire_question", "question_id": _Q}, within="rule_id"),
-    Step("scoring_category", "category_id", (), {"rule_id": "scoring_rule"}, within="rule_id"),
+    Step("scoring_rule", "scoring_rule_id", ("questionnaire_id", "name"), {"questionnaire_id": "questionnaire"}),
+    Step("scoring_rule_item", "item_id", (), {"scoring_rule_id": "scoring_rule", "qq_id": "questionnaire_question"}, within="scoring_rule_id"),
+    Step("scoring_category", "category_id", (), {"scoring_rule_id": "scoring_rule"}, within="scoring_rule_id"),
     Step("respondent", "respondent_id", ("study_id", "external_id"), {"study_id": "study"}),
     Step("response_session", "session_id", ("_natural",), {"respondent_id": "respondent", "questionnaire_id": "questionnaire"}),
     Step("response", "response_id", (), {"session_id": "response_session", "qq_id": "questionnaire_question", "question_id": _Q, "option_id": "response_option", "grid_row_id": "grid_row", "grid_column_id": "grid_column"}, within="session_id"),
-    Step("admin_event", "event_id", (), {"respondent_id": "respondent", "session_id": "response_session"}, within="session_id"),
+    Step("admin_event", "event_id", (), {"study_id": "study", "questionnaire_id": "questionnaire", "respondent_id": "respondent", "session_id": "response_session"}, within="session_id"),
     Step("data_quality_flag", "flag_id", (), {"session_id": "response_session", "qq_id": "questionnaire_question"}, within="session_id", drop=("response_id",)),
-    Step("study_errata_log", "errata_id", (), {"study_id": "study", "questionnaire_id": "questionnaire", "question_id": _Q, "qq_id": "questionnaire_question"}),
-    Step("question_lineage", "lineage_id", ("child_question_id", "parent_question_id", "change_type"), {"child_question_id": _Q, "parent_question_id": _Q}),
-    Step("question_equivalence", None, ("question_id_1", "question_id_2", "relationship"), {"question_id_1": _Q, "question_id_2": _Q}),
-    Step("questionnaire_version_diff", "diff_id", ("old_questionnaire_id", "new_questionnaire_id", "link_id", "change_type"), {"old_questionnaire_id": "questionnaire", "new_questionnaire_id": "questionnaire"}),
+    Step("study_errata_log", "errata_id", (), {"study_id": "study", "questionnaire_id": "questionnaire", "question_id": _Q, "affects_session_from": "response_session", "affects_session_to": "response_session"}),
+    Step("question_lineage", "lineage_id", ("question_id", "parent_question_id", "change_type"), {"question_id": _Q, "parent_question_id": _Q}),
+    Step("question_equivalence", "equivalence_id", ("question_id_1", "question_id_2", "relationship"), {"question_id_1": _Q, "question_id_2": _Q}),
+    Step("questionnaire_version_diff", "diff_id", ("from_questionnaire_id", "to_questionnaire_id", "change_type", "qq_id_from", "qq_id_to"), {"from_questionnaire_id": "questionnaire", "to_questionnaire_id": "questionnaire", "qq_id_from": "questionnaire_question", "qq_id_to": "questionnaire_question"}),
     Step("person_map", None, ("respondent_id",), {"respondent_id": "respondent"}),
 )
 

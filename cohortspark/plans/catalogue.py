@@ -365,7 +365,7 @@ WHERE d.doc_kind = 'erratum' GROUP BY 1, 2""")
 def errata_sessions(spark, folder):
     """Sessions with answers loaded within six hours of an erratum of their study."""
     errata = table(spark, folder, "documents").where("doc_kind = 'erratum'").select("study_id", "doc_id", "recorded_at", (F.col("recorded_at") + F.expr("interval 6 hours")).alias("until"))
-    hit = ranges.interval_join(_facts(spark, folder).select("study_id", "session_id", "loaded_at"), errata, ["study_id"], "loaded_at", "recorded_at", "until", 6 * 3600 * 1_000_000)
+    hit = ranges.interval_join(_facts(spark, folder).select("study_id", "session_id", "loaded_at").distinct(), errata, ["study_id"], "loaded_at", "recorded_at", "until", 6 * 3600 * 1_000_000)
     return hit.groupBy("study_id", "doc_id").agg(F.countDistinct("session_id").alias("n_sessions"))
 
 

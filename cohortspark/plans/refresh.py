@@ -15,7 +15,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators import star
+from cohortspark.functions.semantics import plain_number
+from cohortspark.operators import scoring, star
 
 #: Texts of the transactional tables that the star schema reads as dates or moments: table, its id, columns.
 DATES = {
@@ -51,7 +52,8 @@ def star_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def refresh(spark: SparkSession, path: str, oltp: dict[str, DataFrame], extra: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None, full: bool = False) -> dict:
     """Brings the star schema under ``path`` up to date with the transactional tables; returns the run's log entry.
 
-    ``extra``: further tables, each made from the star tables so far. ``full`` reloads all sessions and answers.
+    Scores, lineage, equivalence and OMOP tables follow where ``oltp`` has scoring_rule, scoring_rule_item and
+    scoring_category, question_lineage, question_equivalence, person_map. ``extra``: further tables, each made from the star tables so far. ``full`` reloads all sessions and answers.
     """
     last = watermark(spark, path)
     run, began = last["refresh_id"] + 1, datetime.now(timezone.utc).isoformat()
@@ -82,6 +84,8 @@ def refresh(spark: SparkSession, path: str, oltp: dict[str, DataFrame], extra: d
         put("agg_question_distribution", star.question_distribution(done["fact_response"]))
         put("agg_numeric_stats", star.numeric_statistics(done["fact_response"], oltp["question"]))
         put("agg_session_completion", star.session_completion(done["dim_session"]))
+        for name, df in _derived(oltp, done).items():
+            put(name, df)
         known = last["tables"].get("cast_failures") if not full else None
         put("cast_failures", star.cast_failures({t: (oltp[t], *of) for t, of in DATES.items()}, spark.read.parquet(*known) if known else None), append=True)
         for name, make in (extra or {}).items():
@@ -94,7 +98,29 @@ def refresh(spark: SparkSession, path: str, oltp: dict[str, DataFrame], extra: d
         raise
 
 
-EXPORT_ORDER = ("dim_study", "dim_questionnaire", "dim_concept", "dim_question", "dim_response_option", "dim_respondent", "dim_session", "dim_date", "fact_response", "agg_question_distribution", "agg_numeric_stats", "agg_session_completion")
+def _derived(oltp: dict[str, DataFrame], done: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Scores, lineage, equivalence and OMOP tables, each where the transactional tables it needs are given."""
+    out: dict[str, DataFrame] = {}
+    if {"scoring_rule", "scoring_rule_item", "scoring_category"} <= oltp.keys():
+        rules = oltp["scoring_rule"].select(F.col("scoring_rule_id").alias("rule_id"), "name", "questionnaire_id", "formula")
+        placed = oltp["questionnaire_question"].select("qq_id", "question_id")
+        items = oltp["scoring_rule_item"].join(placed, "qq_id").select(F.col("scoring_rule_id").alias("rule_id"), "question_id", "weight", (F.coalesce("reverse_score", F.lit(0)) != 0).alias("reverse"))
+        bands = oltp["scoring_category"].select(F.col("scoring_rule_id").alias("rule_id"), F.col("min_score").alias("low"), F.col("max_score").alias("high"), "label", F.col("display_order").alias("place"))
+        out["agg_respondent_scores"] = scoring.scores(done["fact_response"], rules, items, bands, done["dim_response_option"].select("question_id", plain_number(F.col("option_value")).alias("value")))
+    if "question_lineage" in oltp:
+        out["dim_question_lineage"] = star.dim_question_lineage(oltp["question_lineage"])
+    if "question_equivalence" in oltp:
+        out["dim_question_equivalence"] = star.dim_question_equivalence(oltp["question_equivalence"])
+    if "person_map" in oltp:
+        persons = oltp["person_map"].select("respondent_id", F.col("omop_person_id").alias("person_id"))
+        out["omop_survey_conduct"] = star.omop_survey_conduct(done["dim_session"], oltp["questionnaire"], persons)
+        out["omop_observation"] = star.omop_observation(done["fact_response"], persons)
+        out["omop_unmapped_questions"] = star.omop_unmapped(done["fact_response"], oltp["question"].join(oltp["questionnaire_question"].select("question_id").distinct(), "question_id", "left_semi"))
+    return out
+
+
+EXPORT_ORDER = ("dim_study", "dim_questionnaire", "dim_concept", "dim_question", "dim_response_option", "dim_respondent", "dim_session", "dim_date", "fact_response", "agg_question_distribution", "agg_numeric_stats", "agg_session_completion",
+    "agg_respondent_scores", "dim_question_equivalence", "dim_question_lineage", "omop_survey_conduct", "omop_observation", "omop_unmapped_questions")
 
 
 def export(tables: dict[str, DataFrame], path: str, names: list[str] | None = None, overwrite: bool = False) -> tuple[dict[str, int], list[str]]:

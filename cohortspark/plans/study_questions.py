@@ -77,20 +77,20 @@ def dim_question_concepts(spark, folder):
 _DATE_SQL = r"CASE WHEN regexp_matches({0}, '^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}$') THEN TRY_CAST(replace({0}, '/', '-') AS DATE) END"
 
 
-@query("SELECT DISTINCT concept_id_1 AS child_question_id, concept_id_2 AS parent_question_id, 'replaced' AS change_type, " + _DATE_SQL.format("valid_start_date") + " AS effective_date FROM concept_relationship WHERE relationship_id = 'Replaced by'")
+@query("SELECT DISTINCT concept_id_1 AS question_id, concept_id_2 AS parent_question_id, 'other' AS change_type, " + _DATE_SQL.format("valid_start_date") + " AS effective_date FROM concept_relationship WHERE relationship_id = 'Replaced by'")
 def lineage_mirror(spark, folder):
     r = table(spark, folder, "concept_relationship").where("relationship_id = 'Replaced by'")
-    return star.dim_question_lineage(r.select(F.col("concept_id_1").alias("child_question_id"), F.col("concept_id_2").alias("parent_question_id"), F.lit("replaced").alias("change_type"), F.col("valid_start_date").alias("effective_date"))).distinct()
+    return star.dim_question_lineage(r.select(F.col("concept_id_1").alias("question_id"), F.col("concept_id_2").alias("parent_question_id"), F.lit("other").alias("change_type"), F.col("valid_start_date").alias("effective_date"))).distinct()
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT DISTINCT concept_id_1 AS question_id_1, concept_id_2 AS question_id_2, CASE relationship_id WHEN 'Replaced by' THEN 'equivalent' ELSE 'broader' END AS relationship FROM concept_relationship WHERE relationship_id IN ('Replaced by', 'Is a') AND concept_id_2 IS NOT NULL),
+WITH RECURSIVE t AS (SELECT DISTINCT concept_id_1 AS question_id_1, concept_id_2 AS question_id_2, CASE relationship_id WHEN 'Replaced by' THEN 'equivalent' ELSE 'related' END AS relationship FROM concept_relationship WHERE relationship_id IN ('Replaced by', 'Is a') AND concept_id_2 IS NOT NULL),
 e AS (SELECT question_id_1 AS a, question_id_2 AS b FROM t WHERE relationship = 'equivalent' AND question_id_1 <> question_id_2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a),
 g AS (SELECT node, MAX(other) AS root FROM r GROUP BY node), k AS (SELECT node, DENSE_RANK() OVER (ORDER BY root) AS group_id FROM g)
 SELECT t.*, k.group_id FROM t LEFT JOIN k ON k.node = t.question_id_1""")
 def equivalence_mirror(spark, folder):
     r = table(spark, folder, "concept_relationship").where("relationship_id in ('Replaced by', 'Is a') and concept_id_2 is not null")
-    t = r.select(F.col("concept_id_1").alias("question_id_1"), F.col("concept_id_2").alias("question_id_2"), F.when(F.col("relationship_id") == "Replaced by", "equivalent").otherwise("broader").alias("relationship")).distinct()
+    t = r.select(F.col("concept_id_1").alias("question_id_1"), F.col("concept_id_2").alias("question_id_2"), F.when(F.col("relationship_id") == "Replaced by", "equivalent").otherwise("related").alias("relationship")).distinct()
     return star.dim_question_equivalence(t).select("question_id_1", "question_id_2", "relationship", "group_id")
 
 
@@ -264,8 +264,8 @@ def _imported(spark, folder) -> response_import.Imported:
         "questionnaire_question": rows("qq_id int, questionnaire_id int, question_id int", [(n, 1, n) for n in place.values()]),
         "question": rows("question_id int, link_id string, question_type string, numeric_min double, numeric_max double", [(place[i[0]], *i) for i in _ITEMS]),
         "response_option": rows("option_id int, question_id int, option_value string", [(n, place[link], code) for n, (link, code) in enumerate(_OPTIONS, 1)]),
-        "grid_row": rows("grid_row_id int, question_id int, display_order int", [(10 + n, place["gout.joint_pain"], n) for n in _GRID_ROWS]),
-        "grid_column": rows("grid_column_id int, question_id int, option_value string", [(20 + n, place["gout.joint_pain"], c) for n, c in enumerate(_GRID_COLUMNS)]),
+        "grid_row": rows("row_id int, question_id int, display_order int", [(10 + n, place["gout.joint_pain"], n) for n in _GRID_ROWS]),
+        "grid_column": rows("column_id int, question_id int, column_value string", [(20 + n, place["gout.joint_pain"], c) for n, c in enumerate(_GRID_COLUMNS)]),
     }
     return response_import.import_responses(table(spark, folder, "gout_checkin_fhir_responses"), study)
 

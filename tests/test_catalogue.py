@@ -59,7 +59,7 @@ def test_every_cast_failure(spark, study):
 
 def test_equivalence(spark):
     schema = "question_id_1 int, question_id_2 int, relationship string, confidence string"
-    table = equivalence.declare(spark.createDataFrame([], schema), spark.createDataFrame([(1, 2, "equivalent", "high"), (2, 3, "near_equivalent", "low"), (4, 5, "broader", "high")], schema))
+    table = equivalence.declare(spark.createDataFrame([], schema), spark.createDataFrame([(1, 2, "equivalent", "high"), (2, 3, "near_equivalent", "low"), (4, 5, "related", "high")], schema))
     assert table.count() == 6
     assert equivalence.declare(table, spark.createDataFrame([(1, 2, "equivalent", "low")], schema)).where("question_id_1 = 1 and confidence = 'low'").count() == 0
     with pytest.raises(ValueError):
@@ -139,3 +139,29 @@ def test_stream(spark, tmp_path, monkeypatch):
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 6
     assert stamp("2024-01-01")
+
+
+@pytest.mark.parametrize("name", ["fact_response", "reversed_scores", "structural_missing", "values_outside", "imported_answers", "flag_summary", "site_mean_without_errata", "companion_aggregates", "equivalence_mirror", "numeric_sketch"])
+def test_study_questions_on_empty_and_null_tables(spark, study, name):
+    assert catalogue.QUERIES[name](spark, study()).count() == 0
+    tables = ("fact_response", "question", "response_session", "concept_relationship", "questionnaire_question", "skip_rule", "documents", "gout_checkin_fhir_responses")
+    catalogue.QUERIES[name](spark, study(", n int, label string, points double, longer string", **{t: [{}, {}] for t in tables})).collect()
+
+
+def test_documents_where(spark):
+    from cohortspark.plans.study_questions import documents_where
+
+    d = spark.createDataFrame([("note", 1, "a"), ("erratum", 1, "a"), ("erratum", None, "b")], "doc_kind string, study_id int, source string")
+    assert [documents_where(d, **w).count() for w in ({}, {"kind": "erratum"}, {"kind": "erratum", "study": 1, "source": None})] == [3, 2, 1]
+    with pytest.raises(ValueError):
+        documents_where(d, colour="red")
+
+
+def test_lineage_is_recorded(spark):
+    schema = "question_id int, parent_question_id int, change_type string"
+    old = spark.createDataFrame([(2, 1, "reword")], schema)
+    new = equivalence.record_lineage(old, spark.createDataFrame([(2, 1, "reword"), (3, 2, "split")], schema))
+    assert rows_of(new) == [(2, 1, "reword"), (3, 2, "split")]
+    for row in ((2, 2, "reword"), (3, 2, "renamed"), (3, None, "split")):
+        with pytest.raises(ValueError):
+            equivalence.record_lineage(old, spark.createDataFrame([row], schema))

@@ -154,8 +154,8 @@ def test_merge_of_definitions(spark):
             "questionnaire": f("questionnaire_id int, canonical_url string, version string", (n + 5, None, "1")),
             "questionnaire_question": f("qq_id int, questionnaire_id int, question_id int, parent_qq_id int", (n + 7, n + 5, n, None), (n + 8, n + 5, n + 1, n + 7)),
             "skip_rule": f("rule_id int, qq_id int, trigger_qq_id int", (1, n + 8, n + 7)),
-            "scoring_rule": f("rule_id int, questionnaire_id int, name string", (n + 2, n + 5, "sum"), (n + 3, n + 5, f"own{n}")),
-            "scoring_rule_item": f("rule_id int, question_id int, weight double", (n + 2, n, 1.0), (n + 3, n + 1, 2.0)),
+            "scoring_rule": f("scoring_rule_id int, questionnaire_id int, name string", (n + 2, n + 5, "sum"), (n + 3, n + 5, f"own{n}")),
+            "scoring_rule_item": f("item_id int, scoring_rule_id int, qq_id int, weight double", (1, n + 2, n + 7, 1.0), (2, n + 3, n + 8, 2.0)),
             "respondent": f("respondent_id int, study_id int, external_id string", (n, None, f"p{n}")),
             "response_session": f("session_id int, respondent_id int, questionnaire_id int, started_at string, fhir_response_id string", (n, n, n + 5, "t", None)),
             "response": f("response_id int, session_id int, qq_id int, option_id int", (1, n, n + 7, n * 10), (2, n, n + 8, n * 10 + 1)),
@@ -276,6 +276,27 @@ def test_refresh(spark, tmp_path):
     assert star.cast_failures({"study": (broken["study"], "study_id", {"end_date": "date"})}, failures).count() == 0
 
 
+def test_refresh_derives_scores_and_mirrors(spark, tmp_path):
+    d, path = spark.createDataFrame, str(tmp_path / "star")
+    tables = oltp(spark, [given(1, 1, 1, 2), given(2, 1, 3, number=4.0)])
+    tables["questionnaire"] = tables["questionnaire"].withColumn("concept_id", F.lit(77))
+    tables |= {
+        "scoring_rule": d([(5, "total", 1, "sum")], "scoring_rule_id int, name string, questionnaire_id int, formula string"),
+        "scoring_rule_item": d([(1, 5, 1, 1.0, 1), (2, 5, 3, 2.0, 0)], "item_id int, scoring_rule_id int, qq_id int, weight double, reverse_score int"),
+        "scoring_category": d([(1, 5, "low", None, 7.0, 1), (2, 5, "high", 8.0, None, 2)], "category_id int, scoring_rule_id int, label string, min_score double, max_score double, display_order int"),
+        "question_lineage": d([(1, 2, 1, "reword", "2024-02-30"), (2, 3, 1, "split", "2024/3/1")], "lineage_id int, question_id int, parent_question_id int, change_type string, effective_date string"),
+        "question_equivalence": d([(1, 2, "equivalent"), (2, 1, "equivalent"), (1, 3, "related")], "question_id_1 int, question_id_2 int, relationship string"),
+        "person_map": d([(1, 500)], "respondent_id int, omop_person_id int"),
+    }
+    refresh.refresh(spark, path, tables)
+    star_of = lambda name: refresh.star_table(spark, path, name)
+    assert rows_of(star_of("agg_respondent_scores").select("rule_id", "session_id", "score", "items_answered", "category")) == [(5, 1, 8.0, 2, "high")]  # (2 - 2) + 2 * 4
+    assert sorted(str(r.effective_date) for r in star_of("dim_question_lineage").collect()) == ["2024-03-01", "None"]
+    assert rows_of(star_of("dim_question_equivalence").select("question_id_1", "question_id_2", "group_id")) == [(1, 2, 1), (1, 3, 1), (2, 1, 1)]
+    assert [r.person_id for r in star_of("omop_observation").collect()] == [500, 500] and star_of("omop_survey_conduct").count() == 2
+    assert rows_of(star_of("omop_unmapped_questions").select("question_id", "response_count")) == [(2, 0)]
+
+
 def test_refresh_lists_unreadable_dates(spark, tmp_path):
     path, tables = str(tmp_path / "star"), oltp(spark, [given(1, 1, 1, 2)])
     late = F.when(F.col("session_id") == 1, "5 May, 10 am").otherwise(F.col("completed_at"))
@@ -300,6 +321,51 @@ def test_export(spark, tmp_path):
     assert refresh.export(tables, path, overwrite=True)[0] == {"dim_study": 3, "other": 2}
 
 
+def test_components_of_small_and_large_graphs(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(120)] + [(None, 1), (5, 5)]
+    e = spark.createDataFrame(edges, "src int, dst int")
+    for label in ("min", "max"):
+        assert rows_of(graphs.components(e, label)) == rows_of(graphs.components(e, label, small=-1))
+    assert graphs.components(e.limit(0)).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "child int, parent int")
+    assert graphs.ancestors(chain).count() == 820
+
+
+def test_import_of_responses(spark, tmp_path):
+    from cohortspark.operators.response_import import import_responses
+
+    a = lambda **v: {"answer": [v]}
+    r = lambda n, items, **more: {"rec_no": n, "resourceType": "QuestionnaireResponse", "questionnaire": "u|2", "id": f"r{n}", "authored": "2024-01-01", "subject": {"reference": "Patient/S::1"}, "item": items} | more
+    deep = {"linkId": "x", "item": [{"linkId": "y", "item": [{"linkId": "z", "item": [{"linkId": "c"} | a(valueCoding={"code": "B-1"})]}]}]}
+    rows = [
+        r(1, [{"linkId": "c"} | a(valueCoding={"code": "b"}), {"linkId": "n"} | a(valueDecimal=99.0), {"linkId": "unknown"} | a(valueString="s"), {"linkId": "t"} | a(valueDecimal=1.0)]),
+        r(2, [{"linkId": "g", "item": [{"linkId": "g.r0"} | a(valueCoding={"code": "1"}), {"linkId": "g.r7"} | a(valueCoding={"code": "1"}), {"linkId": "g.rx"} | a(valueCoding={"code": "1"})]}, deep], status="in-progress"),
+        r(3, [], questionnaire="other"),
+        r(4, None),
+    ]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)))
+    read = study_files.read_responses(spark, str(tmp_path / "r.json"), lines=True).withColumn("rec_no", F.substring("id", 2, 9).cast("int"))
+    with pytest.raises(ValueError):
+        study_files.read_responses(spark, str(tmp_path / "r.json"), depth=3, lines=True)
+    f = lambda schema, *rows: spark.createDataFrame(rows, schema)
+    study = {
+        "questionnaire": f("questionnaire_id int, canonical_url string", (1, "u")),
+        "questionnaire_question": f("qq_id int, questionnaire_id int, question_id int", *((i + 10, 1, i) for i in range(1, 5))),
+        "question": f("question_id int, link_id string, question_type string, numeric_min double, numeric_max double", (1, "c", "single_choice", None, None), (2, "n", "numeric", 0.0, 5.0), (3, "t", "text", None, None), (4, "g", "grid", None, None)),
+        "response_option": f("option_id int, question_id int, option_value string, concept_code string", (7, 1, "b", "B-1"), (8, 1, "b", None)),
+        "grid_row": f("row_id int, question_id int, display_order int", (70, 4, 0)),
+        "grid_column": f("column_id int, question_id int, column_value string", (80, 4, "1")),
+    }
+    got = import_responses(read, study)
+    assert rows_of(got.sessions.select("rec_no", "questionnaire_id", "completed_at", "is_complete")) == [(1, 1, "2024-01-01", 1), (2, 1, None, 0), (4, 1, "2024-01-01", 1)]
+    assert rows_of(got.answers.select("rec_no", "qq_id", "option_id", "grid_row_id", "grid_column_id", "response_numeric")) == [(1, 11, 7, None, None, None), (1, 12, None, None, None, 99.0), (2, 11, 7, None, None, None), (2, 14, None, 70, 80, None)]
+    assert rows_of(got.flags) == [(1, 12, "n", "range", "warning"), (1, 13, "t", "type", "error"), (2, 14, "g", "grid", "error"), (2, 14, "g", "grid", "error")]
+    assert rows_of(got.rejected) == [(3,)]
+
+
 def test_aggregates(spark):
     f = spark.createDataFrame([(1, 1, 1, 1, "a"), (1, 1, 1, 1, "b"), (1, 1, 1, 2, "a"), (2, 1, 1, 3, "a"), (1, 1, 1, 4, None)], "study_id int, questionnaire_id int, question_id int, session_id int, option_value string")
     f = f.withColumns({c: F.lit(None).cast("int") for c in ("option_id", "question_concept_id", "option_concept_id")})
