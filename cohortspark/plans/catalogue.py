@@ -250,8 +250,10 @@ def _scores(spark, folder):
     f = _facts(spark, folder).withColumn("response_numeric", F.try_element_at(points, F.lower(F.trim(F.translate("option_value", "\t", " ")))))
     q = table(spark, folder, "question").where("link_id like 'mood.i%'")
     items = q.select(F.lit(1).alias("rule_id"), "question_id", F.lit(1.0).alias("weight"), (F.col("link_id") == "mood.i7").alias("reverse"))
-    rules = spark.createDataFrame([(1, "mood sum", 1, "sum")], "rule_id int, name string, questionnaire_id int, formula string")
-    bands = spark.createDataFrame([(1, low, high, label, i) for i, (low, high, label) in enumerate(BANDS)], "rule_id int, low double, high double, label string, place int")
+    rules = spark.sql("SELECT 1 AS rule_id, 'mood sum' AS name, 1 AS questionnaire_id, 'sum' AS formula")
+    value = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"{x}D"
+    rows = ", ".join(f"(1, {value(low)}, {value(high)}, '{label}', {i})" for i, (low, high, label) in enumerate(BANDS))
+    bands = spark.sql(f"SELECT * FROM VALUES {rows} AS t(rule_id, low, high, label, place)")
     tops = q.select("question_id", F.lit(3.0).alias("value"))
     return scoring.scores(f, rules, items, bands, tops)
 
